@@ -92,6 +92,8 @@ def smallest_capacity(sums: PrefixSums, shards: int) -> tuple[int, list[int]]:
         tries = sorted({low + (high - low) * i // PROBES for i in range(PROBES + 1)}) if high - low > PROBES else list(range(low, high + 1))
         ends = sums.walk(tries, shards)
         enough = [c for c in tries if ends[c][-1] >= sums.total]
+        if not enough:  # feasibility grows with the capacity and the largest try isn't feasible
+            break
         best = (enough[0], ends[enough[0]])
         less = [c for c in tries if c < enough[0]]
         low, high = (less[-1] + 1 if less else enough[0]), enough[0] - 1

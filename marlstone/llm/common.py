@@ -87,6 +87,19 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "ra
     return joined.withColumn(out, (F.col("_shift") + F.col("_within")).cast("long")).select(*df.columns, out)
 
 
+def keep_keyed(documents: DataFrame, key: Column, kept: DataFrame, copies: bool = False) -> DataFrame:
+    """The documents whose ``key`` (a string) is in ``kept`` (k, and n where ``copies``), one for each key, n times.
+
+    All columns travel as one struct, so their names can't clash with the join's. Rows of one key can't be told
+    apart by it: one of them stands for all. The join deals the rows by the key, which the last step uses again.
+    """
+    packed = documents.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
+    once = packed.join(kept, F.col("key") == F.col("k")).dropDuplicates(["key"])
+    if copies:
+        once = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return once.select("doc.*")
+
+
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

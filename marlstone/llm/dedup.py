@@ -180,7 +180,5 @@ def exact_dedup(documents: DataFrame, history_to: int | None = None) -> DataFram
 def keep_first(documents: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: one of each group of equal texts."""
     name = lambda d, i: F.concat_ws(":", d, F.coalesce(i.cast("string"), F.lit("null")))
-    kept = exact_dedup(documents).filter("kept").select(name(F.col("text_sha256"), F.col("doc_id")).alias("_k"))
-    marked = documents.withColumn("_key", name(F.lower(F.hex(digest())), F.col("doc_id").cast("long")))
-    # Rows that repeat id and text all meet the one kept entry; the join has dealt them by the same key.
-    return marked.join(kept, F.col("_key") == F.col("_k")).dropDuplicates(["_key"]).select(*documents.columns)
+    kept = exact_dedup(documents).filter("kept").select(name(F.col("text_sha256"), F.col("doc_id")).alias("k"))
+    return common.keep_keyed(documents, name(F.lower(F.hex(digest())), F.col("doc_id").cast("long")), kept)

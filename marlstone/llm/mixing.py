@@ -135,6 +135,5 @@ def mixed_documents(documents: DataFrame, weights: list[float] = (3, 1, 2), shar
     name = lambda i, m, s: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m.cast("string"), F.coalesce(F.hex(s), F.lit("null")))
     key = name(F.col("doc_id").cast("long"), F.xxhash64(common.text_or_empty()), F.col("source"))
     # Rows that repeat id, text and source can't be told apart: one of them stands for all and has the sum of their copies.
-    taken = plan.groupBy(name(F.col("doc_id"), F.col("mark"), F.col("source")).alias("_k")).agg(F.sum("copies").cast("int").alias("_copies"))
-    once = documents.withColumn("_key", key).join(taken, F.col("_key") == F.col("_k")).dropDuplicates(["_key"])
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)
+    taken = plan.groupBy(name(F.col("doc_id"), F.col("mark"), F.col("source")).alias("k")).agg(F.sum("copies").alias("n"))
+    return common.keep_keyed(documents, key, taken, copies=True)

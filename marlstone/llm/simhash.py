@@ -242,6 +242,5 @@ def keep_one(documents: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     name = lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m.cast("string"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark")))
     stays = made.groupBy("fp").agg(first.alias("w")).join(named, F.col("fp") == F.col("f")).groupBy("root").agg(F.min("w").alias("w"))
-    marked = documents.withColumn("_key", name(F.col("doc_id").cast("long"), F.xxhash64(common.text_or_empty())))
-    kept = marked.join(stays.select(name(F.col("w.id"), F.col("w.mark")).alias("_k")), F.col("_key") == F.col("_k"))
-    return kept.dropDuplicates(["_key"]).select(*documents.columns)
+    kept = stays.select(name(F.col("w.id"), F.col("w.mark")).alias("k"))
+    return common.keep_keyed(documents, name(F.col("doc_id").cast("long"), F.xxhash64(common.text_or_empty())), kept)

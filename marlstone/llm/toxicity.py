@@ -175,4 +175,5 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that aren't called toxic, with all columns."""
     score = scorer(train(documents, labels))
-    return documents.withColumn("_score", score("text")).filter(F.col("_score") < threshold).select(*documents.columns)
+    packed = documents.select(score("text").alias("score"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
+    return packed.filter(F.col("score") < threshold).select("doc.*")

@@ -26,9 +26,11 @@ from marlstone.llm import common
 
 #: Tokens of a sequence at most; the id that ends each document.
 SEQUENCE_TOKENS, END_ID = 1024, 2
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN_SCHEMA = "length long, first long, last long, per long, sequence long, place long"
 
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

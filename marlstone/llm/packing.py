@@ -26,6 +26,8 @@ from marlstone.llm import common
 
 #: Tokens of a sequence at most; the id that ends each document.
 SEQUENCE_TOKENS, END_ID = 1024, 2
+#: Twice as much white space in a row is safe from the fast library's limit on backtracking (some 10^6 characters).
+SPACE_BLOCK = 50_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN_SCHEMA = "length long, first long, last long, per long, sequence long, place long"
@@ -55,11 +57,17 @@ def merge_ranks(vocabulary: dict) -> dict[bytes, int] | None:
     return {bytes(to_byte[c] for c in t): i for t, i in ids.items() if t not in added}
 
 
+def long_space(text: str, block: int = SPACE_BLOCK) -> bool:
+    """Whether a whole block of the text is white space; every run of two blocks or more holds one."""
+    return any(text[i : i + block].isspace() for i in range(0, len(text) - block + 1, block))
+
+
 class Encoder:
     """Ids of texts by the vocabulary file.
 
     The file's own library defines the ids. The same merges run several times faster in tiktoken, so texts go through
-    that, unless they hold one of the file's special tokens or the file's merges aren't in the order of their ids.
+    that, unless they hold one of the file's special tokens or very long white space (the fast one panics on it), or the
+    file's merges aren't in the order of their ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,7 +85,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.fast and not any(x in text for x in self.special):
+        if self.fast and not any(x in text for x in self.special) and not long_space(text):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -38,6 +38,12 @@ def test_ids_equal_the_tokenizers(text):
     assert np.frombuffer(packing.Encoder(packing.default_tokenizer()).ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_000 + "b", "\n\t" * 600_000, " " * 99_999 + "x", "x" * 300_000, "\u3000" * 400_000], ids=["spaces", "lines", "short", "word", "wide"])
+def test_very_long_runs(text):
+    reference = Tokenizer.from_file(packing.default_tokenizer())
+    assert np.frombuffer(packing.Encoder(packing.default_tokenizer()).ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
 def test_random_white_space():
     reference, own, r = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer()), random.Random(1)
     for _ in range(400):

@@ -6,7 +6,8 @@ fall below zero the step goes the other way, as the non-negative estimator has i
 labelled rows. Which features take part is decided on counts in both samples, corrected by the prior in the same way.
 
 Both samples are bounded (parameters ``positives`` and ``unlabelled``) and taken by the hash of the id among the rows
-to learn from, so fitting costs the same at any size; scoring reads every whole text once.
+to learn from, so fitting costs the same at any size; scoring reads every whole text once. Near copies within a sample
+count once, since the chance words that copies of a toxic text share would pass for evidence.
 
 Defined results: null and empty texts score the model's bias alone. Without toxic labels to learn from every score is
 zero. A document whose labels disagree counts as toxic. Repeated rows are scored each. Extra columns are ignored.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 768
 EVIDENCE = 20.0
 #: A text with this score or more is called toxic.
 THRESHOLD = 0.7
+#: Words of the shingles that tell near copies in the samples.
+SHINGLE = 5
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = (3, 4, 5, 6)
 #: Distinct words whose features a scoring task remembers before it starts anew.
@@ -48,6 +52,12 @@ def features(word: str) -> list[str]:
     return [f"={word}", *[f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n]]
 
 
+def near_key(text: str) -> int:
+    """The smallest hash of the text's five-word shingles: near copies mostly share it, other texts don't."""
+    ws = [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text.lower())]
+    return min(xxhash.xxh64_intdigest(b" ".join(ws[i : i + SHINGLE])) for i in range(max(1, len(ws) - SHINGLE + 1))) >> 1
+
+
 def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
@@ -122,7 +132,11 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
     any_text = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(*by_hash).limit(unlabelled).select(F.col("doc_id").alias("id"), F.lit(False).alias("pos"))
     # Ids alone are ordered and broadcast: at most positives + unlabelled of them.
     chosen = common.settle(toxic.union(any_text), "toxic-ids")
-    sample = common.settle(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("pos", "text").repartition(16), "toxic-sample")
+    keyed = F.pandas_udf(lambda texts: pd.Series([near_key(t or "") for t in texts], dtype="int64"), "long")
+    found = common.settle(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("pos", "text", keyed("text").alias("key")).repartition(16), "toxic-found")
+    # Near copies count once: a passage that copies share is no evidence for the words in it.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))
+    sample = common.settle(found.groupBy("pos", "key").agg(one.alias("o")).select("pos", "o.text"), "toxic-sample")
     size = {r["pos"]: r["count"] for r in sample.groupBy("pos").count().collect()}
     n_pos, n_unl = size.get(True, 0), size.get(False, 0)
     if not n_pos or not n_unl or not prior:

@@ -57,3 +57,21 @@ def test_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(18)] + [(None, 1, 1), (3, 1, None), (4, 1, 1), (4, 1, 0)], LABELS)
     assert toxicity.score_documents(odd, labels).count() == odd.count()
     assert toxicity.score_documents(nothing, labels).count() == 0
+
+
+def test_words_that_toxic_copies_share_are_no_evidence(spark):
+    docs, labels, toxic = corpus(spark)
+    passage = prose(600, 77)
+    copies = frame(spark, [f"{passage} snarfel {'x' * (i % 5 + 1)}" for i in range(120)]).withColumn("doc_id", F.col("doc_id") + 10_000)
+    clean = frame(spark, [prose(600, 77).replace(" ", "  ")] + [" ".join(passage.split()[i:]) for i in (50, 100, 200)]).withColumn("doc_id", F.col("doc_id") + 20_000)
+    more = labels.union(copies.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic")))
+    rows = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs.unionByName(copies).unionByName(clean), more).collect()}
+    assert not any(v for k, v in rows.items() if k >= 20_000)
+    assert sum(rows[k] for k in range(10_000, 10_120)) == 120
+
+
+def test_near_key():
+    assert toxicity.near_key("") == toxicity.near_key("12 !")
+    assert toxicity.near_key("one two") == toxicity.near_key("One, two") != toxicity.near_key("two one")
+    long = prose(400, 3)
+    assert toxicity.near_key(long) == toxicity.near_key(long.replace(" ", " - ")) != toxicity.near_key(prose(400, 4))

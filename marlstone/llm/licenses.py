@@ -88,10 +88,11 @@ def phrase_places(ws: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int,
     joined = b" %b " % b" ".join(ws)
     out = []
     for phrase, label in phrases.items():
-        at = joined.find(phrase)
+        at, seen, word = joined.find(phrase), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
-            at = joined.find(phrase, at + 1)
+            word += joined.count(b" ", seen, at)
+            out.append((word, label))
+            seen, at = at, joined.find(phrase, at + 1)
     return out
 
 

@@ -54,3 +54,9 @@ def test_near_notices(spark, nothing):
     labels = [r["labels"] for r in licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()]
     assert labels == ["gpl-3", "gpl-3", "", ""]
     assert licenses.scan(nothing).count() == 0
+
+
+def test_places_of_many_phrases():
+    ws = licenses.words("x cc by nc by " * 3 + "under the MIT license")
+    found = licenses.phrase_places(ws, {b" cc by nc ": "c", b" under the mit license ": "m"})
+    assert found == [(1, "c"), (6, "c"), (11, "c"), (15, "m")]

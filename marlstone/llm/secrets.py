@@ -32,16 +32,19 @@ FEATURES = ["length", "digits", "uppers", "hexes", "marks", "changes", "vowel_ch
 
 
 def candidates(documents: DataFrame, path_col: str = "source") -> DataFrame:
-    """doc_id, path, word (index from 0), candidate, token, before, before2, after: one row for each candidate."""
+    """doc_id, path, word (index from 0), part, candidate, token, before, before2, after: one row for each candidate.
+
+    A word such as a URL may hold several candidates; ``part`` counts them from 0.
+    """
     docs = common.require(documents, "doc_id", "text", *({path_col} - {"doc_id", "text"}))
     docs = docs.select("doc_id", F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), common.text_or_empty().alias("body"))
-    docs = docs.filter(F.col("body").rlike(CANDIDATE)).withColumn("w", F.split("body", f"[{common.SPACE_CLASS}]+"))
+    docs = docs.filter(F.col("body").rlike(CANDIDATE)).withColumn("w", F.split(F.regexp_replace("body", f"^[{common.SPACE_CLASS}]+", ""), f"[{common.SPACE_CLASS}]+"))
     at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     near = F.filter(
         F.transform("w", lambda x, i: F.when(F.length(x) >= 16, F.struct(i.alias("word"), x.alias("token"), at(i - 1).alias("before"), at(i - 2).alias("before2"), at(i + 1).alias("after")))),
         lambda x: x.isNotNull())
     rows = docs.select("doc_id", "path", F.explode(near).alias("c")).select("doc_id", "path", "c.*")
-    return rows.withColumn("candidate", F.regexp_extract("token", f"({CANDIDATE})", 1)).filter("candidate <> ''")
+    return rows.select("*", F.posexplode(F.regexp_extract_all("token", F.lit(CANDIDATE), F.lit(0))).alias("part", "candidate"))
 
 
 def dictionary(documents: DataFrame, words: int = DICTIONARY) -> list[str]:
@@ -90,28 +93,29 @@ def train(labelled: DataFrame, most: int = FINDINGS):
     kinds = [r["label"] for r in labelled.groupBy("label").count().collect() if r["label"] is not None]
     if len(kinds) < 2:
         return kinds[0] if kinds else 0.5
-    order = F.xxhash64("candidate", "doc_id", "word")
-    bounded = labelled.filter("label is not null").orderBy(order, "candidate", "doc_id", "word").limit(most).select(*FEATURES, "label")
+    order = F.xxhash64("candidate", "doc_id", "word", "part")
+    bounded = labelled.filter("label is not null").orderBy(order, "candidate", "doc_id", "word", "part").limit(most).select(*FEATURES, "label")
     sample = common.settle(bounded.coalesce(1), "findings")
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=42, maxMemoryInMB=64)
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample))
 
 
 def scan(documents: DataFrame, labelled: DataFrame | None = None, path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """doc_id, word, candidate, score, is_secret, path, before, after: every candidate with the forest's verdict.
+    """doc_id, word, part, candidate, score, is_secret, path, before, after: every candidate with the forest's verdict.
 
-    labelled: (doc_id, word, label) names findings by document and word index. Without it, the candidates of two
+    labelled: (doc_id, word, label) names findings by document and word index, and by part if it has that column. Without it, the candidates of two
     documents in three (by crc32 of the id) are labelled by ``rule_label`` and learned from.
     """
     found = common.settle(described(candidates(documents, path_col), dictionary(documents)), "candidates")
     if labelled is None:
         learned = found.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(True))).withColumn("label", rule_label())
     else:
-        named = labelled.select(F.col("doc_id").alias("_d"), F.col("word").alias("_w"), F.col("label").cast("double").alias("label"))
-        learned = found.join(named, (F.col("doc_id") == F.col("_d")) & (F.col("word") == F.col("_w")))
+        part = F.col("part") if "part" in labelled.columns else F.lit(None).cast("int")
+        named = labelled.select(F.col("doc_id").alias("_d"), F.col("word").alias("_w"), part.alias("_p"), F.col("label").cast("double").alias("label"))
+        learned = found.join(named, (F.col("doc_id") == F.col("_d")) & (F.col("word") == F.col("_w")) & F.coalesce(F.col("part") == F.col("_p"), F.lit(True)))
     model = train(learned)
     if isinstance(model, float):
         scored = found.withColumn("score", F.lit(model))
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "word", "candidate", F.round("score", 9).alias("score"), (F.col("score") >= threshold).cast("int").alias("is_secret"), "path", "before", "after")
+    return scored.select("doc_id", "word", "part", "candidate", F.round("score", 9).alias("score"), (F.col("score") >= threshold).cast("int").alias("is_secret"), "path", "before", "after")

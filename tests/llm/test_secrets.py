@@ -44,3 +44,9 @@ def test_odd_rows(spark, odd, nothing):
     assert secrets.scan(nothing).count() == 0
     one = corpus(spark, 8).filter("doc_id = 0")
     assert secrets.scan(one, secrets.candidates(one).select("doc_id", "word", F.lit(1).alias("label"))).first()["score"] == 1.0
+
+
+def test_all_candidates_of_a_word(spark):
+    a, b = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    rows = secrets.candidates(frame(spark, [f"  see key:{a},next:{b} end", f'{a}'])).orderBy("doc_id", "part").collect()
+    assert [(r["doc_id"], r["word"], r["part"], r["candidate"], r["before"]) for r in rows] == [(0, 1, 0, a, "see"), (0, 1, 1, b, "see"), (1, 0, 0, a, "")]

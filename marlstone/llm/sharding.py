@@ -3,7 +3,8 @@
 Rows with equal texts form an atomic group. Groups stand in the order of their texts' SHA-256, so a row knows its
 place from its own text and seven cut digests are all that has to reach the rows: no join, and a text that a third of
 the rows share costs nothing extra. The smallest capacity for which the greedy walk needs no more than the given
-number of shards is searched over distributed prefix sums.
+number of shards is searched over distributed prefix sums; within that capacity the cuts are then made as even as whole
+groups allow.
 
 Defined results: null text has size 1 and stands with the empty text (CRC 0). Repeated rows each have a slot. Shards
 that get no group stay empty. An empty table gives an empty result. Extra columns are ignored.
@@ -50,13 +51,13 @@ class PrefixSums:
         self.largest = max((r["m"] for r in rows), default=0)
         self.known: dict[int, tuple[int, int, str | None]] = {}
 
-    def ends(self, limits: set[int]) -> dict[int, tuple[int, str | None]]:
-        """For each limit the largest prefix sum that is no larger, and the digest of the group where it ends."""
-        out = {x: (self.total, None) for x in limits if x >= self.total}
+    def ends(self, limits: set[int]) -> dict[int, tuple[int, str | None, int]]:
+        """For each limit the largest prefix sum that is no larger, the digest of the group where it ends, and the next sum."""
+        out = {x: (self.total, None, self.total) for x in limits if x >= self.total}
         asked = []
         for x in limits - out.keys():
             if hit := next((v for v in self.known.values() if v[0] <= x < v[1]), None):
-                out[x] = (hit[0], hit[2])
+                out[x] = (hit[0], hit[2], hit[1])
                 continue
             i = bisect_right(self.before, x) - 1
             asked.append((x, self.buckets[i], x - self.before[i], self.before[i]))
@@ -68,11 +69,17 @@ class PrefixSums:
             got = {r["x"]: r for r in found.collect()}
             for x, _, _, before in asked:
                 last, after = got[x]["last"], got[x]["next"]
-                out[x] = (before + (last["up_to"] if last else 0), last["digest"] if last else None)
+                out[x] = (before + (last["up_to"] if last else 0), last["digest"] if last else None, before + after)
                 if last:
                     self.known[out[x][0]] = (out[x][0], before + after, last["digest"])
         return out
 
+    def larger_than(self, size: int) -> list[tuple[int, int]]:
+        """(sum before it, size) of each group over a size that few can have: total / size rows come back at most."""
+        before = dict(zip(self.buckets, self.before, strict=True))
+        rows = self.table.filter(F.col("size") > F.lit(size)).select("bucket", "up_to", "size").collect()
+        return sorted((before[r["bucket"]] + r["up_to"] - r["size"], r["size"]) for r in rows)
+
     def walk(self, capacities: list[int], shards: int) -> dict[int, list[int]]:
         """The greedy walk for many capacities at once: where each shard ends."""
         ends: dict[int, list[int]] = {c: [] for c in capacities}
@@ -100,12 +107,44 @@ def smallest_capacity(sums: PrefixSums, shards: int) -> tuple[int, list[int]]:
     return best
 
 
+def even_ends(sums: PrefixSums, capacity: int, shards: int) -> list[int]:
+    """Where shards end that keep to the capacity and share what is left as evenly as whole groups allow.
+
+    The greedy walk fills each shard up to the capacity; where one large group decides that, it leaves the last shards
+    empty. Here a group over an even share has a shard of its own, the stretches between such groups are divided
+    evenly, and each shard ends at the sum nearest to that, within what the capacity allows it and what the shards
+    after it need.
+    """
+    need = [sums.total]  # need[r]: the least sum from which r shards reach the end
+    for _ in range(shards - 1):
+        x = need[-1] - capacity
+        if x > 0:
+            last, _, after = sums.ends({x})[x]
+            x = last if last == x else after
+        need.append(max(x, 0))
+    large = sums.larger_than(sums.total // shards)
+    ends, at = [], 0
+    for left in range(shards, 1, -1):
+        ahead = [(start, size) for start, size in large if start >= at]
+        share = (sums.total - at - sum(size for _, size in ahead)) / max(1, left - len(ahead))
+        stretch = (ahead[0][0] if ahead else sums.total) - at
+        parts = max(1, round(stretch / share)) if ahead and share else left
+        aim = at + (stretch // parts if stretch else ahead[0][1] if ahead else 0)
+        found = sums.ends({aim, at + capacity})
+        below, _, above = found[aim]
+        end = above if below <= at or above - aim < aim - below else below
+        at = max(min(end, found[at + capacity][0]), need[left - 1], at)
+        ends.append(at)
+    return [*ends, sums.total]
+
+
 def cut_digests(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
     """The capacity, and the last digest of each shard but the last that has groups."""
     sums = PrefixSums(groups)
     if not sums.total:
         return 0, []
-    capacity, ends = smallest_capacity(sums, shards)
+    capacity, _ = smallest_capacity(sums, shards)
+    ends = even_ends(sums, capacity, shards)
     inner = sorted({e for e in ends if 0 < e < sums.total})
     found = sums.ends(set(inner))
     cuts = []

@@ -69,3 +69,13 @@ def test_one_text_for_all_and_none(spark, nothing):
 def test_write(spark, tmp_path, odd):
     sharding.write_shards(odd.drop("shard"), f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == odd.count()
+
+
+def test_a_large_group_leaves_no_shard_empty(spark):
+    for where in (0, 150, 299):
+        groups = [("%064x" % ((i << 240) + 1), 3000 if i == where else 20) for i in range(300)]
+        capacity, cuts = sharding.cut_digests(spark.createDataFrame(groups, "digest string, size bigint"), 8)
+        loads = [0] * 8
+        for d, n in groups:
+            loads[sum(d > c for c in cuts)] += n
+        assert capacity == max(loads) == 3000 and min(loads) >= 500

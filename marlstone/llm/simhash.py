@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import common
@@ -34,6 +34,10 @@ SAMPLE, SHARD_ROWS, LEAST_SHARDS = 65536, 65536, 64
 LEAF = 96
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: The general rule for near copies, apart from the contract of ``near_dedup``: words of a shingle, and the least similarity.
+RULE_SHINGLE, SIMILAR = 5, 0.8
+#: Bands of minima, and minima of a band: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
+BANDS, BAND_ROWS = 32, 5
 
 
 def fingerprint(text: str) -> int:
@@ -236,11 +240,117 @@ def near_dedup(documents: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return made.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _name(i: Column, m: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m.cast("string"))
+
+
 def keep_one(documents: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One document of each group of near copies, with all columns: that with the smallest id (null ids last)."""
     made, named = _components_of(documents, shard_rows)
-    name = lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m.cast("string"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark")))
     stays = made.groupBy("fp").agg(first.alias("w")).join(named, F.col("fp") == F.col("f")).groupBy("root").agg(F.min("w").alias("w"))
-    kept = stays.select(name(F.col("w.id"), F.col("w.mark")).alias("k"))
-    return common.keep_keyed(documents, name(F.col("doc_id").cast("long"), F.xxhash64(common.text_or_empty())), kept)
+    kept = stays.select(_name(F.col("w.id"), F.col("w.mark")).alias("k"))
+    return common.keep_keyed(documents, _name(F.col("doc_id").cast("long"), F.xxhash64(common.text_or_empty())), kept)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The hashes of a text's distinct RULE_SHINGLE-word shingles, ascending; words are cut and lowered as in ``fingerprint``.
+
+    A shorter text is one shingle, a text without words the shingle of no words.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - RULE_SHINGLE + 1)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + RULE_SHINGLE]), SEED) for i in range(n)], "<u8"))
+
+
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64), rng.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray, xors: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key for each band of BAND_ROWS minima; sets of similarity j share a given one with probability j ** BAND_ROWS."""
+    least = np.full(len(xors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        h = (shingles[at : at + 4096, None] ^ xors) * factors
+        least = np.minimum(least, (h ^ (h >> np.uint64(29))).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))], "<u8")
+
+
+def sketches(documents: DataFrame) -> DataFrame:
+    """(doc_id, mark, s, bands): a hash of the raw text, a hash of its set of shingles, and the set's band keys."""
+    xors, factors = _permutations()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            s, bands = np.empty(len(rows), "<u8"), []
+            for i, text in enumerate(rows["text"]):
+                shingles = shingle_set(text or "")
+                s[i] = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+                bands.append(band_keys(shingles, xors, factors).view(np.int64))
+            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "mark": rows["mark"], "s": s.view(np.int64), "bands": bands})
+
+    docs = common.require(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(common.text_or_empty()).alias("mark"))
+    return docs.mapInPandas(run, "doc_id long, mark long, s long, bands array<long>")
+
+
+def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, shingles) for the texts whose (id, mark, s) are in ``wanted``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"s": rows["s"], "shingles": [shingle_set(text).view(np.int64) for text in rows["text"]]})
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"), F.xxhash64(common.text_or_empty()).alias("m"))
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark"))).select("s", "text")
+    return found.mapInPandas(run, "s long, shingles array<long>").dropDuplicates(["s"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets' exact Jaccard similarity is ``least`` or more."""
+    of = lambda x: sets.select(F.col("s").alias(f"_{x}"), F.col("shingles").alias(f"set_{x}"))
+    both = pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter(shared >= F.lit(least) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+
+def similar_components(documents: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """(node, least) over the sets of shingles that have a partner of similarity ``least`` or more.
+
+    Sets that share a band key are candidates. Each is first held against three members of its bucket, so a large group
+    of near copies costs a few pairs a member. Then all pairs of a bucket that are still in different components are
+    held against one another: a pair that never is compared is joined already, so the components are those of all candidates.
+    """
+    distinct = common.settle(made.groupBy("s").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark")).alias("w"), F.first("bands").alias("bands")), "sets")
+    keyed = distinct.select("s", F.explode("bands").alias("key"))
+    buckets = common.settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), F.min_by("s", F.xxhash64("s", F.lit(1))).alias("other")).filter("n > 1").withColumnRenamed("key", "k"), "buckets")
+    shared = common.settle(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "s", "low", "high", "other"), "shared")
+    named = common.settle(shared.select("s").distinct().withColumnRenamed("s", "x"), "candidates")
+    wanted = common.settle(distinct.join(named, F.col("s") == F.col("x")).select("s", "w.id", "w.mark"), "wanted")
+    sets = common.settle(_sets_of(documents, wanted), "shingles")
+    stars = shared.select("s", F.explode(F.array("low", "high", "other")).alias("hub")).filter("s <> hub")
+    tried = stars.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b")).distinct()
+    now = components(_similar(tried, sets, least))
+    members = shared.select("key", "s").join(now, F.col("s") == F.col("node"), "left").select("key", "s", F.coalesce("least", "s").alias("root"))
+    members = common.settle(members, "members")
+    apart = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("key").alias("k"))
+    open_ = common.settle(members.join(apart, F.col("key") == F.col("k")).join(sets.select(F.col("s").alias("_s"), F.size("shingles").alias("n")), F.col("s") == F.col("_s")).select("key", "s", "root", "n"), "apart")
+    l, r = open_.alias("l"), open_.alias("r")
+    near = (F.col("l.n") >= F.lit(least) * F.col("r.n")) & (F.col("r.n") >= F.lit(least) * F.col("l.n"))
+    cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.s") < F.col("r.s")) & (F.col("l.root") != F.col("r.root")) & near)
+    tried = common.settle(cross.select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct(), "cross")
+    late = common.settle(_similar(tried, sets, least), "late")
+    return now if late.isEmpty() else components(now.select(F.col("node").alias("a"), F.col("least").alias("b")).union(late))
+
+
+def keep_dissimilar(documents: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """One document of each group of near copies by the general rule, with all columns: that with the smallest id (null ids last).
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``least`` or more, and what they join.
+    """
+    made = common.settle(sketches(documents), "sketches")
+    joined = similar_components(documents, made, least)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark")))
+    firsts = made.groupBy("s").agg(first.alias("w"))
+    stays = firsts.join(joined, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("least", "s").alias("root")).agg(F.min("w").alias("w"))
+    return common.keep_keyed(documents, _name(F.col("doc_id").cast("long"), F.xxhash64(common.text_or_empty())), stays.select(_name(F.col("w.id"), F.col("w.mark")).alias("k")))

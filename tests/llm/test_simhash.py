@@ -95,3 +95,64 @@ def test_components_over_chains_and_hubs(spark):
 def test_empty_texts_link(spark):
     rows = simhash.near_dedup(frame(spark, ["", None, "  ", "word"])).collect()
     assert {(r["doc_id"], r["component_id"]) for r in rows if r["fingerprint"] == "0" * 16} == {(0, 0), (1, 0), (2, 0)}
+
+
+def slow_kept(rows, least=0.8):
+    """Ids that stay when texts of five-word Jaccard similarity ``least`` or more, over all pairs, are one."""
+    def shingles(text):
+        w = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= least * len(a | b):
+                up[root(i)] = root(j)
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        first[root(i)] = min(first.get(root(i), d), d)
+    return sorted(first.values())
+
+
+def test_similar_texts_go_beyond_the_radius(spark):
+    r = random.Random(6)
+    texts = []
+    for i in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([60, 150, 400]))]
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(r.randrange(1 + len(words) // 50)):
+                copy[r.randrange(len(copy))] = "Other"
+            texts.append(" ".join(copy))
+    df = frame(spark, [*texts, "", "one two", "One  TWO", "one two three"])
+    rows = [(x["doc_id"], x["text"]) for x in df.collect()]
+    got = sorted(x["doc_id"] for x in simhash.keep_dissimilar(df).collect())
+    assert got == slow_kept(rows)
+    assert len(got) < simhash.keep_one(df).count()  # what two bits of the fingerprint leave in
+
+
+def test_cross_pairs_of_a_bucket_are_compared(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 300]) for i in range(0, 100, 10)]  # neighbours are similar, the ends are not
+    df = frame(spark, texts)
+    assert [x["doc_id"] for x in simhash.keep_dissimilar(df).collect()] == slow_kept([(i, t) for i, t in enumerate(texts)]) == [0]
+
+
+def test_similar_odd_rows(odd, nothing):
+    kept = simhash.keep_dissimilar(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id is null").count() == 0
+    assert simhash.keep_dissimilar(nothing).count() == 0
+
+
+def test_the_stage_keeps_to_the_general_rule(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "/root/testdata/sf0.001")
+    assert sorted(x["doc_id"] for x in kept.collect()) == slow_kept([(x["doc_id"], x["text"]) for x in docs.collect()])

@@ -71,23 +71,29 @@ def search(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """The k nearest for each row of ``queries`` (query_id, query), by a bounded number of queries.
+    """The k nearest for each row of ``queries`` (query_id, query), by any number of queries.
 
-    The query set is checked (MOST_QUERIES) and broadcast; each task keeps k rows a query before anything is shuffled.
+    They go in blocks, dealt by a hash of the id, of BLOCK_QUERIES on average. A block is broadcast; each task keeps k rows
+    a query before anything is shuffled.
     """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise InvalidOptions(f"more than {MOST_QUERIES} queries; send them in parts")
     from pyspark.sql.window import Window
 
-    pairs = vectors.select(id_col, vector_col).join(F.broadcast(queries.select("query_id", "query")))
-    scored = pairs.select("query_id", id_col, score(F.col(vector_col), F.col("query"), metric).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("distance", distance(F.col("score"), metric))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    out = None
+    for b in range(blocks):
+        some = queries.select("query_id", "query")
+        if blocks > 1:
+            some = some.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = vectors.select(id_col, vector_col).join(F.broadcast(some))
+        scored = pairs.select("query_id", id_col, score(F.col(vector_col), F.col("query"), metric).alias("score"))
+        nearest = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("distance", distance(F.col("score"), metric))
+        out = nearest if out is None else out.unionByName(nearest)
+    return out
 
 
-#: Queries of one call at most: they are held by every task.
-MOST_QUERIES = 4096
+#: Queries of a block on average: they are held by every task.
+BLOCK_QUERIES = 2048
 
 
 class VectorStore:

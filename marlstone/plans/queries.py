@@ -152,6 +152,15 @@ def vector_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.search_many(_vectors(spark, sf_dir), queries, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@_query("""SELECT query_id, id, rank, round(score, 6) AS score FROM (
+  SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
+    (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id::VARCHAR))::INTEGER AS rank
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 5""")
+def vector_search_hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.search_many(_vectors(spark, sf_dir), queries, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @_query("""SELECT CASE WHEN vec_id % 50 = 0 THEN 'id is empty' WHEN vec_id % 50 = 1 THEN 'id holds / or a control character' WHEN vec_id % 50 = 2 THEN 'wrong dimension'
   WHEN vec_id % 50 = 3 THEN 'a component is not finite' WHEN vec_id % 50 = 4 THEN 'the zero vector has no direction' END AS why, count(*) AS rows FROM embeddings GROUP BY 1""")
 def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:

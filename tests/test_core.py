@@ -138,6 +138,19 @@ def test_vector_store(spark):
         vector.VectorStore(spark, 2, namespace="a_b")
 
 
+def test_search_many_goes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "MOST_QUERIES", 7, raising=False)
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 7, raising=False)
+    points = {i: [float(i % 7 - 3), float(i * i % 11 - 5), float(i % 5)] for i in range(60)}
+    table = spark.createDataFrame([(str(i), v) for i, v in points.items()], VEC)
+    queries = spark.createDataFrame([(i, points[i]) for i in range(0, 60, 2)], "query_id bigint, query array<float>")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in vector.search_many(table, queries, 3, "dot").collect()}
+    for q in range(0, 60, 2):
+        best = sorted((-sum(x * y for x, y in zip(points[q], v, strict=True)), str(i)) for i, v in points.items())[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(i, -d) for d, i in best]
+    assert len(got) == 90
+
+
 def test_fnv_and_routes(spark):
     keys = {"user:1": ("f7fd9aaa75081ceb", "node-2"), "user:2": ("f7fd9baa75081e9e", "node-2"), "order:9": ("deb8789f34999fea", "node-1"), "item:42": ("77ef156bbd2f64d6", "node-3"), "session:abc": ("e3263ff97b271d79", "node-1")}
     nodes = ring.node_ring([("node-3", 1), ("node-1", 1), ("node-2", 1)])

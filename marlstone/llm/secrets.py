@@ -26,7 +26,8 @@ FINDINGS, DICTIONARY, TREES, DEPTH = 20_000, 400, 24, 6
 
 #: Words that announce a secret, and words that announce an example (fixed values).
 ANNOUNCING = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)"
-EXAMPLE = r"(?i)(example|sample|dummy|test|placeholder|changeme|fixture|xxxx)"
+#: An example's word stands alone: next to it are no letters, or a capital begins a new word (``testKey``, ``myTest``).
+EXAMPLE = r"(?:(?<!\p{L})|(?<=\p{Ll})(?=\p{Lu}))(?i:examples?|samples?|dummy|dummies|tests?|testing|placeholders?|changeme|fixtures?|x{4,})(?!\p{Ll})"
 
 FEATURES = ["length", "digits", "uppers", "hexes", "marks", "changes", "vowel_changes", "longest_digit_run", "distinct", "coverage", "path_depth", "path_example", "announced", "assigned", "quoted", "before_length", "after_length", "example_near"]
 
@@ -85,7 +86,7 @@ def _count(column: str, pattern: str) -> Column:
 def rule_label() -> Column:
     """Labels for tables that have none: a finding is true if a secret's name is assigned to it and it mixes letters and digits."""
     mixed = F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]")
-    return ((F.col("announced") > 0) & (F.col("assigned") > 0) & (F.col("example_near") == 0) & mixed & (F.col("length") >= 20)).cast("double")
+    return ((F.col("announced") > 0) & (F.col("assigned") > 0) & (F.col("example_near") == 0) & mixed).cast("double")
 
 
 def train(labelled: DataFrame, most: int = FINDINGS):

@@ -50,3 +50,11 @@ def test_all_candidates_of_a_word(spark):
     a, b = "0123456789abcdef" * 2, "fedcba9876543210" * 2
     rows = secrets.candidates(frame(spark, [f"  see key:{a},next:{b} end", f'{a}'])).orderBy("doc_id", "part").collect()
     assert [(r["doc_id"], r["word"], r["part"], r["candidate"], r["before"]) for r in rows] == [(0, 1, 0, a, "see"), (0, 1, 1, b, "see"), (1, 0, 0, a, "")]
+
+
+def test_short_keys_and_words_that_hold_example_words(spark):
+    key = "a1b2c3d4e5f6a7b8"
+    after = {"end": 1, "entest": 1, "thatestion": 1, "test": 0, "sample.": 0, "test_key": 0, "testKey": 0, "EXAMPLES": 0, "xxxxxxxx": 0}
+    texts = [f"api_key = {key} {w}" for w in after]
+    rows = secrets.described(secrets.candidates(frame(spark, texts)), []).withColumn("label", secrets.rule_label()).collect()
+    assert {list(after)[r["doc_id"]]: r["label"] for r in rows} == after

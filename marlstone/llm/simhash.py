@@ -38,6 +38,8 @@ BLOCK = 1 << 16
 RULE_SHINGLE, SIMILAR = 5, 0.8
 #: Bands of minima, and minima of a band: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
+#: Bits by which pairs that can't be similar are told before their sets are read.
+CELLS = 512
 
 
 def fingerprint(text: str) -> int:
@@ -263,6 +265,13 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + RULE_SHINGLE]), SEED) for i in range(n)], "<u8"))
 
 
+def cells(shingles: np.ndarray) -> np.ndarray:
+    """CELLS bits, those set that a shingle falls on: a bit that another set lacks stands for a shingle at least that it lacks."""
+    bits = np.zeros(CELLS, np.uint8)
+    bits[shingles % np.uint64(CELLS)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return rng.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64), rng.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
@@ -295,15 +304,16 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, shingles) for the texts whose (id, mark, s) are in ``wanted``."""
+    """(s, shingles, cells) for the texts whose (id, mark, s) are in ``wanted``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"s": rows["s"], "shingles": [shingle_set(text).view(np.int64) for text in rows["text"]]})
+            sets = [shingle_set(text) for text in rows["text"]]
+            yield pd.DataFrame({"s": rows["s"], "shingles": [x.view(np.int64) for x in sets], "cells": [cells(x) for x in sets]})
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"), F.xxhash64(common.text_or_empty()).alias("m"))
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark"))).select("s", "text")
-    return found.mapInPandas(run, "s long, shingles array<long>").dropDuplicates(["s"])
+    return found.mapInPandas(run, "s long, shingles array<long>, cells array<long>").dropDuplicates(["s"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -317,30 +327,37 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_components(documents: DataFrame, made: DataFrame, least: float) -> DataFrame:
     """(node, least) over the sets of shingles that have a partner of similarity ``least`` or more.
 
-    Sets that share a band key are candidates. Each is first held against three members of its bucket, so a large group
-    of near copies costs a few pairs a member. Then all pairs of a bucket that are still in different components are
+    Sets that share a band key are candidates. Each is first held against one member of its buckets, then twice against
+    those of other components, so a large group of near copies costs a few pairs a member. Last, all pairs of a bucket that are still in different components are
     held against one another: a pair that never is compared is joined already, so the components are those of all candidates.
     """
     distinct = common.settle(made.groupBy("s").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark")).alias("w"), F.first("bands").alias("bands")), "sets")
     keyed = distinct.select("s", F.explode("bands").alias("key"))
-    buckets = common.settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), F.min_by("s", F.xxhash64("s", F.lit(1))).alias("other")).filter("n > 1").withColumnRenamed("key", "k"), "buckets")
-    shared = common.settle(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "s", "low", "high", "other"), "shared")
+    buckets = common.settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low")).filter("n > 1").select(F.col("key").alias("k"), "low"), "buckets")
+    shared = common.settle(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "s", "low"), "shared")
     named = common.settle(shared.select("s").distinct().withColumnRenamed("s", "x"), "candidates")
     wanted = common.settle(distinct.join(named, F.col("s") == F.col("x")).select("s", "w.id", "w.mark"), "wanted")
     sets = common.settle(_sets_of(documents, wanted), "shingles")
-    stars = shared.select("s", F.explode(F.array("low", "high", "other")).alias("hub")).filter("s <> hub")
-    tried = stars.select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b")).distinct()
-    now = components(_similar(tried, sets, least))
-    members = shared.select("key", "s").join(now, F.col("s") == F.col("node"), "left").select("key", "s", F.coalesce("least", "s").alias("root"))
-    members = common.settle(members, "members")
-    apart = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("key").alias("k"))
-    open_ = common.settle(members.join(apart, F.col("key") == F.col("k")).join(sets.select(F.col("s").alias("_s"), F.size("shingles").alias("n")), F.col("s") == F.col("_s")).select("key", "s", "root", "n"), "apart")
-    l, r = open_.alias("l"), open_.alias("r")
-    near = (F.col("l.n") >= F.lit(least) * F.col("r.n")) & (F.col("r.n") >= F.lit(least) * F.col("l.n"))
-    cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.s") < F.col("r.s")) & (F.col("l.root") != F.col("r.root")) & near)
-    tried = common.settle(cross.select(F.col("l.s").alias("a"), F.col("r.s").alias("b")).distinct(), "cross")
-    late = common.settle(_similar(tried, sets, least), "late")
-    return now if late.isEmpty() else components(now.select(F.col("node").alias("a"), F.col("least").alias("b")).union(late))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    now = components(_similar(shared.groupBy("s").agg(F.min("low").alias("hub")).filter("s <> hub").select(*pair("s", "hub")), sets, least))
+    for last in (False, False, True):
+        members = common.settle(shared.select("key", "s").join(now, F.col("s") == F.col("node"), "left").select("key", "s", F.coalesce("least", "s").alias("root")), "members")
+        apart = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("s", "root").alias("s0"), F.max_by("s", "root").alias("s1")).filter("r0 <> r1").withColumnRenamed("key", "k")
+        open_ = members.join(common.settle(apart, "apart"), F.col("key") == F.col("k"))
+        if last:
+            n = sets.select(F.col("s").alias("_s"), F.size("shingles").alias("n"), "cells")
+            open_ = common.settle(open_.join(n, F.col("s") == F.col("_s")).select("key", "s", "root", "n", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(CELLS // 64)]), "open")
+            x, y = open_.alias("x"), open_.alias("y")
+            only = lambda p, q: sum((F.bit_count(F.col(f"{p}.c{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}.c{i}")))) for i in range(CELLS // 64)), F.lit(0))
+            most = F.least(F.col("x.n") - only("x", "y"), F.col("y.n") - only("y", "x"))  # shared shingles at most
+            near = most * (1 + least) + 1e-6 >= F.lit(least) * (F.col("x.n") + F.col("y.n"))
+            tried = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+        else:
+            tried = open_.filter("root <> r0").select(*pair("s", "s0")).union(open_.filter("root <> r1").select(*pair("s", "s1")))
+        found = common.settle(_similar(common.settle(tried.distinct(), "tried"), sets, least), "similar")
+        if not found.isEmpty():
+            now = components(now.select(F.col("node").alias("a"), F.col("least").alias("b")).union(found))
+    return now
 
 
 def keep_dissimilar(documents: DataFrame, least: float = SIMILAR) -> DataFrame:

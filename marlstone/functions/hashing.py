@@ -12,8 +12,9 @@ _SMALL = PRIME & _LOW  # the prime is 2^40 + this
 _SIGN = -(1 << 63)
 
 
-def fnv1a64(data: bytes | str) -> int:
-    h = OFFSET
+def fnv1a64(data: bytes | str, state: int = OFFSET) -> int:
+    """The hash of the bytes, or of what led to ``state`` and then the bytes."""
+    h = state
     for b in data.encode() if isinstance(data, str) else data:
         h = ((h ^ b) * PRIME) % (1 << 64)
     return h
@@ -24,7 +25,7 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def fnv1a64_column(column: Column) -> Column:
+def fnv1a64_column(column: Column, state: int = OFFSET) -> Column:
     """The hash's bits as BIGINT, null for null or empty input.
 
     The state is two 32-bit halves, as a 64-bit product would overflow in ANSI mode: with x = low ^ byte the new low
@@ -32,7 +33,7 @@ def fnv1a64_column(column: Column) -> Column:
     """
     data = column.cast("binary")
     codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), lambda i: F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("long"))
-    start = F.struct(F.lit(OFFSET >> 32).alias("hi"), F.lit(OFFSET & _LOW).alias("lo"))
+    start = F.struct(F.lit(state >> 32).cast("long").alias("hi"), F.lit(state & _LOW).cast("long").alias("lo"))
 
     def step(a: Column, code: Column) -> Column:
         x = a["lo"].bitwiseXOR(code)

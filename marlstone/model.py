@@ -12,8 +12,6 @@ PUT, DELETE = 1, 2
 LOG = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("value", T.BinaryType()), T.StructField("seq", T.LongType(), False), T.StructField("kind", T.ByteType(), False)])
 #: A replication journal.
 JOURNAL = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("op", T.StringType(), False), T.StructField("key", T.StringType(), False), T.StructField("value", T.StringType()), T.StructField("timestamp", T.TimestampType())])
-#: Vectors of a namespace.
-VECTORS = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("vector", T.ArrayType(T.FloatType(), False), False), T.StructField("metadata", T.BinaryType())])
 #: A step of a trace.
 STEP = T.StructType([T.StructField("component", T.StringType()), T.StructField("step_type", T.StringType()), T.StructField("status", T.StringType()), T.StructField("duration_ns", T.LongType()), T.StructField("detail", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 
@@ -64,6 +62,42 @@ class SyncInProgress(StoreError):
     code = "sync_in_progress"
 
 
+class NodeQuiesced(StoreError):
+    """The node takes no more writes: it was quiesced, or a quiesce was begun."""
+
+    code = "node_quiesced"
+
+
+class QuiesceFailedFenced(NodeQuiesced):
+    """A quiesce was begun and not finished; the fence stays until it is repeated."""
+
+    code = "quiesce_failed_fenced"
+
+
+class UnknownNode(StoreError):
+    code = "unknown_node"
+
+
+class PromotionNotReady(InvalidOptions):
+    code = "promotion_not_ready"
+
+
+class PromotionSequenceMismatch(InvalidOptions):
+    code = "promotion_sequence_mismatch"
+
+
+class PromotionSourceMismatch(InvalidOptions):
+    code = "promotion_source_mismatch"
+
+
+class PromotionRecordInvalid(InvalidOptions):
+    code = "promotion_record_invalid"
+
+
+class AlreadyPromoted(InvalidOptions):
+    code = "already_promoted"
+
+
 class ReplicationGap(StoreError):
     """The journal no longer has what a follower needs next."""
 

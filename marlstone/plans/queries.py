@@ -146,33 +146,42 @@ def vector_search_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT query_id, id, rank, round(score, 6) AS score FROM (
   SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
     (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id::VARCHAR))::INTEGER AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id < 8) WHERE rank <= 5""")
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 5""")
 def vector_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = _table(spark, sf_dir, "embeddings").filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    """The rows whose id is divisible by 100, against all rows."""
+    queries = _table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vector.search_many(_vectors(spark, sf_dir), queries, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@_query("""SELECT query_id, id, rank, round(score, 6) AS score FROM (
-  SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
-    (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id::VARCHAR))::INTEGER AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 5""")
-def vector_search_hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = _table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.search_many(_vectors(spark, sf_dir), queries, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+def _spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, of which five in fifty have something wrong with them."""
+    case = F.col("vec_id") % 50
+    return _table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(case == 0, "").when(case == 1, "a/b").otherwise(F.col("vec_id").cast("string")).alias("id"),
+        F.when(case == 2, F.slice("embedding", 1, 8)).when(case == 3, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).when(case == 4, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")).alias("vector"))
+
+
+@_query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 50 = 4 THEN -1.0 ELSE greatest(-1.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], q))) END AS score
+    FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7) WHERE vec_id % 50 NOT IN (2, 3))
+  SELECT vec_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM v""")
+def vector_search_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of another size and such that aren't finite take no part; the zero vector scores -1. All others are asked for."""
+    rows = _spoilt(spark, sf_dir).drop("id")
+    found = vector.search(rows, rows.filter("vec_id = 7").first()["vector"], 1 << 30, "cosine", "vec_id")
+    return found.select("vec_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
 @_query("""SELECT CASE WHEN vec_id % 50 = 0 THEN 'id is empty' WHEN vec_id % 50 = 1 THEN 'id holds / or a control character' WHEN vec_id % 50 = 2 THEN 'wrong dimension'
   WHEN vec_id % 50 = 3 THEN 'a component is not finite' WHEN vec_id % 50 = 4 THEN 'the zero vector has no direction' END AS why, count(*) AS rows FROM embeddings GROUP BY 1""")
 def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case = F.col("vec_id") % 50
-    bad = _table(spark, sf_dir, "embeddings").select(
-        F.when(case == 0, "").when(case == 1, "a/b").otherwise(F.col("vec_id").cast("string")).alias("id"),
-        F.when(case == 2, F.slice("embedding", 1, 8)).when(case == 3, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).when(case == 4, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")).alias("vector"))
+    bad = _spoilt(spark, sf_dir)
     return bad.groupBy(vector.invalid_reason("id", "vector", 64, "cosine").alias("why")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 #: FNV-1a in DuckDB: a fold over the bytes in HUGEINT. Keys here are ASCII.
 _FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({key}, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (xor((a % 18446744073709551616)::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)"
+#: The same from the state that the Bloom filters' salt leads to.
+_SALTED = _FNV.replace("14695981039346656037", str(bloom.SALTED))
 _KEYS = "keys AS (SELECT DISTINCT 'user:' || user_id AS key FROM events), hashed AS (SELECT key, " + _FNV.format(key="key") + "::UBIGINT AS h FROM keys)"
 
 
@@ -254,24 +263,43 @@ def replica_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replica.advance(spark.sql(f"SELECT * FROM {_REPLICAS.replace('AS t', 't')}"), commit).select("replica", "applied")
 
 
-@_query("SELECT 'degraded' AS status, 3::BIGINT AS replicas, max(event_id) // 2 AS least_applied, max(event_id) AS commit FROM events")
+@_query(f"SELECT replica, CASE WHEN paused THEN applied ELSE c END AS applied FROM {_REPLICAS}, (SELECT max(event_id) AS c FROM events)")
+def replica_advance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commit = _table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    return replica.advance(spark.sql(f"SELECT * FROM {_REPLICAS.replace('AS t', 't')}"), commit, everything=True).select("replica", "applied")
+
+
+@_query("""WITH f AS (SELECT event_type AS name, user_id % 3 AS replica, max(event_id) AS applied FROM events WHERE event_type <> 'view' OR event_id < 100 GROUP BY 1, 2),
+  l AS (SELECT event_type AS name, max(event_id) AS commit FROM events GROUP BY 1)
+  SELECT name, CASE WHEN min(applied) < commit THEN 'degraded' ELSE 'ok' END AS status, count(*) + 1 AS replicas, least(min(applied), commit) AS least_applied, commit FROM f JOIN l USING (name) GROUP BY name, commit""")
 def dashboard_replica_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = F.max("event_id")
-    rows = _table(spark, sf_dir, "events").agg(top.alias("c")).select(F.explode(F.array(F.struct(F.lit(True).alias("leader"), F.col("c").alias("applied")), F.struct(F.lit(False).alias("leader"), F.expr("c div 2").alias("applied")), F.struct(F.lit(False).alias("leader"), F.col("c").alias("applied")))).alias("r")).select("r.*")
-    return dashboard.replica_health(rows)
+    """A set of replicas for each event type: the leader has all of its events, three followers those of some users."""
+    events = _table(spark, sf_dir, "events")
+    leaders = events.groupBy(F.col("event_type").alias("name")).agg(F.max("event_id").alias("applied")).withColumn("leader", F.lit(True))
+    followers = events.filter("event_type <> 'view' or event_id < 100").groupBy(F.col("event_type").alias("name"), F.col("user_id") % 3).agg(F.max("event_id").alias("applied")).withColumn("leader", F.lit(False))
+    return dashboard.replica_set_health(leaders.unionByName(followers.select("name", "applied", "leader")))
+
+
+def entries_of(log: DataFrame, low: int) -> DataFrame:
+    """A log's rows as a journal's entries from seq 1 on."""
+    return log.select((F.col("seq") - low + 1).alias("seq"), F.when(F.col("kind") == 2, "delete").otherwise("put").alias("op"), "key", "value", F.lit(0).cast("timestamp").alias("timestamp"))
+
+
+def event_journal(spark: SparkSession, sf_dir: str, appends: int = 4, part: float = 1.0) -> tuple[str, Journal, int, int]:
+    """A scratch folder, a primary's journal of the events (or the first ``part`` of them) in it, their first id and their number."""
+    root = files.scratch(spark, "replication")
+    journal, log = Journal(spark, f"{root}/primary"), event_log(spark, sf_dir)
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    entries, n = entries_of(log, low), int((high - low + 1) * part)
+    for i in range(appends):
+        journal.append(entries.filter((F.col("seq") > n * i // appends) & (F.col("seq") <= n * (i + 1) // appends)))
+    return root, journal, low, n
 
 
 @_query(f"WITH {LATEST} SELECT key, value, seq FROM latest WHERE kind = 1")
 def replication_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a primary's journal in four files, applied by a follower's stream."""
-    root = files.scratch(spark, "replication")
-    journal = Journal(spark, f"{root}/primary")
-    log = event_log(spark, sf_dir)
-    low, high = log.agg(F.min("seq"), F.max("seq")).first()
-    entries = log.select((F.col("seq") - low + 1).alias("seq"), F.when(F.col("kind") == 2, "delete").otherwise("put").alias("op"), "key", "value", F.lit(0).cast("timestamp").alias("timestamp"))
-    n = high - low + 1
-    for i in range(4):
-        journal.append(entries.filter((F.col("seq") > n * i // 4) & (F.col("seq") <= n * (i + 1) // 4)))
+    root, journal, low, _ = event_journal(spark, sf_dir)
     follower = Follower(spark, f"{root}/follower", "node-2", journal)
     follower.stream()
     return follower.scan().withColumn("seq", F.col("seq") + low - 1)
@@ -282,6 +310,26 @@ def explain_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.get_versions(event_log(spark, sf_dir), "user:7").withColumn("kind", F.col("kind").cast("int"))
 
 
+_ASKED = ("user:7", "user:70x", "a", "zebra", "user:5")
+
+
+@_query(f"""WITH {LOG}, k AS (SELECT DISTINCT source, key FROM log), asked AS (SELECT unnest([{', '.join(f"'{k}'" for k in _ASKED)}]) AS asked),
+  seg AS (SELECT source, min(key) AS low, max(key) AS high, max(seq) AS newest, count(DISTINCT key) AS n FROM log GROUP BY source),
+  sized AS (SELECT *, ceil(-n * ln(0.01) / (ln(2) * ln(2)))::HUGEINT AS m, least(64, greatest(1, floor(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / n * ln(2) + 0.5)))::INTEGER AS c FROM seg),
+  names AS (SELECT DISTINCT key FROM k UNION SELECT asked FROM asked), hashed AS (SELECT key, {_FNV.format(key="key")} AS h, {_SALTED.format(key="key")} AS g FROM names),
+  held AS (SELECT DISTINCT source, ((h + i * g) % 18446744073709551616::HUGEINT) % m AS place FROM k JOIN hashed USING (key) JOIN sized USING (source), range(0, 64) r(i) WHERE i < c),
+  wanted AS (SELECT asked, source, ((h + i * g) % 18446744073709551616::HUGEINT) % m AS place FROM asked JOIN hashed ON asked = key, sized, range(0, 64) r(i) WHERE i < c),
+  maybe AS (SELECT w.asked, w.source, bool_and(h.place IS NOT NULL) AS maybe FROM wanted w LEFT JOIN held h ON w.source = h.source AND w.place = h.place GROUP BY 1, 2),
+  seen AS (SELECT a.asked, s.source, newest, CASE WHEN asked < low OR asked > high THEN ['BOUNDS_SKIP'] WHEN NOT maybe THEN ['BLOOM_SKIP'] WHEN k.key IS NOT NULL THEN ['BLOOM_CHECK', 'SSTABLE_HIT'] ELSE ['BLOOM_CHECK', 'SSTABLE_MISS'] END AS steps
+    FROM sized s JOIN maybe m USING (source) JOIN asked a USING (asked) LEFT JOIN k ON k.source = s.source AND k.key = a.asked),
+  hits AS (SELECT asked, max(newest) FILTER (steps[-1] = 'SSTABLE_HIT') AS hit FROM seen GROUP BY asked),
+  met AS (SELECT asked, source, newest, unnest(steps) AS step, unnest(range(0, len(steps))) AS i FROM seen JOIN hits USING (asked) WHERE hit IS NULL OR newest >= hit UNION ALL SELECT asked, NULL, -1, 'NOT_FOUND', 0 FROM hits WHERE hit IS NULL)
+  SELECT asked AS key, (row_number() OVER (PARTITION BY asked ORDER BY newest DESC, source, i) - 1)::INTEGER AS place, source, step FROM met""")
+def explain_get_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads of a few keys meet in the log's segments, those of keys that aren't there included."""
+    return explain.get_steps(event_log(spark, sf_dir), list(_ASKED))
+
+
 @_query(f"WITH {LOG} SELECT source, count(*) AS entries FROM log WHERE key >= 'user:2' AND key < 'user:5' GROUP BY source")
 def explain_scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.scan_sources(event_log(spark, sf_dir), "user:2", "user:5")
@@ -298,11 +346,16 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", bits.alias("bits"), hashes.cast("long").alias("hashes"))
 
 
-@_query("SELECT DISTINCT 'user:' || user_id AS key, true AS might_contain FROM events")
+@_query(f"""WITH k AS (SELECT DISTINCT 'user:' || user_id AS key FROM events), a AS (SELECT key, true AS there FROM k UNION ALL SELECT 'nobody:' || substr(key, 6), false FROM k UNION ALL SELECT key || 'x', false FROM k),
+  b AS (SELECT key, there, {_FNV.format(key="key")} AS h, {_SALTED.format(key="key")} AS g FROM a), n AS (SELECT count(*) AS n, ceil(-count(*) * ln(0.05) / (ln(2) * ln(2)))::HUGEINT AS m FROM k), s AS (SELECT m, floor(m / n * ln(2) + 0.5) AS c FROM n),
+  p AS (SELECT key, there, ((h + i * g) % 18446744073709551616::HUGEINT) % m AS place FROM b, s, range(0, 64) r(i) WHERE i < c)
+  SELECT key, bool_and(place IN (SELECT place FROM p WHERE there)) AS might_contain FROM p GROUP BY key""")
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter has no false negatives."""
+    """What a filter over all users says about them and about keys that aren't there, after it was written and read again."""
     keys = _keys(spark, sf_dir)
-    return keys.select("key", bloom.might_contain(bloom.build(keys, "key", max(1, keys.count()), 0.01))("key").alias("might_contain"))
+    made = bloom.Bloom.from_bytes(bloom.build(keys, "key", max(1, keys.count()), 0.05).to_bytes())
+    asked = keys.union(keys.select(F.concat(F.lit("nobody:"), F.substring("key", 6, 99)))).union(keys.select(F.concat("key", F.lit("x"))))
+    return asked.select("key", bloom.might_contain(made)("key").alias("might_contain"))
 
 
 @_query("SELECT event_id, 'key-' || lpad(event_id::VARCHAR, 10, '0') AS key FROM events")
@@ -310,6 +363,16 @@ def bench_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", workload.key_column(F.col("event_id")).alias("key"))
 
 
+@_query("""WITH s AS (SELECT event_id, (xor(42::UBIGINT, ((event_id::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT))::UHUGEINT AS h0 FROM events),
+  a AS (SELECT event_id, (h0 * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) % 18446744073709551616::UHUGEINT AS h1 FROM s),
+  b AS (SELECT *, (h1 * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) % 18446744073709551616::UHUGEINT AS h2 FROM a),
+  c AS (SELECT *, (h2 * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) % 18446744073709551616::UHUGEINT AS h3 FROM b)
+  SELECT event_id, lower(lpad(to_hex((h1 // 72057594037927936::UHUGEINT)::UBIGINT), 2, '0') || lpad(to_hex((h2 // 72057594037927936::UHUGEINT)::UBIGINT), 2, '0') || lpad(to_hex((h3 // 72057594037927936::UHUGEINT)::UBIGINT), 2, '0')) AS value FROM c""")
+def bench_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three bytes of each event's generated value."""
+    return _table(spark, sf_dir, "events").select("event_id", F.lower(F.hex(workload.value_column(3)(F.col("event_id")))).alias("value"))
+
+
 @_query("SELECT " + ", ".join(f"list_sort(list(value))[((count(*) - 1) * {p} // 100) + 1] AS p{p}" for p in (50, 95, 99)) + " FROM events WHERE value IS NOT NULL")
 def bench_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.percentiles(_table(spark, sf_dir, "events"), "value", [50, 95, 99])

@@ -71,6 +71,15 @@ class Cluster:
     def default(cls, nodes: int = 3) -> Cluster:
         return cls(name="local", nodes=[Node(f"node-{i}", f"http://127.0.0.1:{9000 + i}", f"127.0.0.1:{9000 + i}", f"data/node-{i}") for i in range(1, nodes + 1)])
 
+    @classmethod
+    def read_replicas(cls, nodes: int = 3) -> Cluster:
+        """A primary whose other nodes follow it."""
+        out = cls.default(nodes)
+        for n in out.nodes:
+            first = n is out.nodes[0]
+            n.replication = Replication(True, "primary" if first else "follower", "" if first else out.nodes[0].id)
+        return out
+
     def normalised(self) -> Cluster:
         for n in self.nodes:
             n.weight, n.base_url = max(1, n.weight), n.base_url.rstrip("/")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import SparkSession
 
-from marlstone.model import CorruptRecord
+from marlstone.model import CorruptRecord, InvalidOptions
 
 
 def _fs(spark: SparkSession, path: str):
@@ -46,6 +50,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if there is none."""
+    where, fs = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a folder to a place that must be free."""
+    source, fs = _fs(spark, old)
+    target, _ = _fs(spark, new)
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(source, target):
+        raise CorruptRecord(f"{new} is there already, or {old} can't be moved")
+
+
 def write_record(spark: SparkSession, path: str, record: dict) -> None:
     """A JSON record with the CRC of its other fields."""
     body = json.dumps(record, sort_keys=True)
@@ -66,10 +85,46 @@ def read_record(spark: SparkSession, path: str) -> dict | None:
     return record
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _fs(spark, path)
+    return fs.exists(where)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file whole, for instance an imported record."""
+    where, fs = _fs(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+_own_roots: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master may do with a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise InvalidOptions(f"spark.checkpoint.dir must name a shared folder on {master}")
+    if master not in _own_roots:
+        _own_roots[master] = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
+    return _own_roots[master]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    import tempfile
-    import uuid
+    """A new folder below the shared one; it goes when the driver ends."""
+    path = f"{shared_root(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
+    atexit.register(_sweep, spark, path)
+    return path
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-    return f"{root.rstrip('/')}/marlstone/{name}-{uuid.uuid4().hex}"
+def _sweep(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, path)

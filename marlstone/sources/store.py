@@ -12,13 +12,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from marlstone.model import DELETE, LOG, PUT, Closed, CorruptRecord, InvalidOptions, require_key
+from marlstone.functions.ranking import number_in_order
+from marlstone.model import DELETE, LOG, PUT, Closed, CorruptRecord, InvalidKey, InvalidOptions, require_key
 from marlstone.operators import kv
 from marlstone.sources import files
 
 VERSION = 1
+#: Key ranges that one read answers: they are held by every task.
+MOST_RANGES = 10_000
 
 
 def validate_manifest(m: dict) -> dict:
@@ -39,12 +41,68 @@ def validate_manifest(m: dict) -> dict:
     return m
 
 
-def require_ascending(rows: DataFrame) -> None:
-    """Keys of a segment must be there and be unique."""
-    if rows.isEmpty():
+def require_unique(rows: DataFrame) -> int:
+    """The number of rows of a segment: there must be some, and keys must be there and be unique."""
+    n, keyed, distinct = rows.agg(F.count(F.lit(1)), F.sum((F.octet_length("key") > 0).cast("long")), F.count_distinct("key")).first()
+    if not n:
         raise InvalidOptions("a segment needs rows")
-    if not rows.groupBy("key").count().filter("count > 1").isEmpty():
+    if keyed != n:
+        require_key(b"")
+    if distinct != n:
         raise InvalidOptions("keys of a segment must be unique")
+    return n
+
+
+class Segment:
+    """An immutable file of operations, one a key, in the order of keys. Reads show tombstones."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        if not files.exists(spark, path):
+            raise CorruptRecord(f"no segment at {path}")
+        self.table = spark.read.schema(LOG).parquet(path)
+
+    @classmethod
+    def create(cls, rows: DataFrame, path: str, rate: float = 0.01, segment_rows: int = 5_000_000, count: int | None = None) -> Segment:
+        """Rows (key, value, seq, kind) in files of disjoint key ranges, each with a Bloom filter on the key.
+
+        ``count``, the most rows there can be, is given by who knows already that keys are unique; else they are checked.
+        """
+        n = require_unique(rows) if count is None else count
+        parts = max(1, -(-n // segment_rows))
+        ordered = (rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)).sortWithinPartitions("key")
+        writer = ordered.select(*LOG.fieldNames()).write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(rate))
+        writer.option("parquet.bloom.filter.expected.ndv#key", str(max(1, n // parts))).parquet(path)
+        return cls(rows.sparkSession, path)
+
+    def get(self, key: bytes) -> DataFrame:
+        """The key's operation, tombstones included, or no row: the filter meets statistics and Bloom filters."""
+        return self.table.filter(F.col("key") == F.lit(key))
+
+    def scan(self, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
+        return self.table.filter(kv.in_range(start, end)).orderBy("key")
+
+    def metadata(self) -> DataFrame:
+        """(count, min_key, max_key), of live entries and tombstones."""
+        return self.table.agg(F.count(F.lit(1)).alias("count"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+
+    def may_contain(self, key: bytes) -> bool:
+        """What the files' own Bloom filters say about a key."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        for status in folder.getFileSystem(conf).listStatus(folder):
+            if not status.getPath().getName().endswith(".parquet"):
+                continue
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
+            try:
+                for block in reader.getRowGroups():
+                    column = next(c for c in block.getColumns() if c.getPath().toDotString() == "key")
+                    held = reader.readBloomFilter(column)
+                    if held is None or held.findHash(held.hash(jvm.org.apache.parquet.io.api.Binary.fromConstantByteArray(bytearray(key)))):
+                        return True
+            finally:
+                reader.close()
+        return False
 
 
 class Store:
@@ -73,7 +131,7 @@ class Store:
     def _append(self, rows: DataFrame, count: int) -> None:
         name = f"delta-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
-        self._swap(deltas=[*self.manifest["deltas"], name], next_seq=self.manifest["next_seq"] + count)
+        self._swap(deltas=[*self.manifest["deltas"], name], delta_rows=self.manifest.get("delta_rows", 0) + count, next_seq=self.manifest["next_seq"] + count)
 
     def _row(self, key: bytes, value: bytes | None, kind: int) -> None:
         self._open()
@@ -87,15 +145,25 @@ class Store:
         self._row(key, None, DELETE)
 
     def write(self, rows: DataFrame) -> int:
-        """Operations (key, value, kind, order) in bulk; ``order`` decides which of a key's is the newest."""
+        """Operations (key, value, kind, order) in bulk: each has a seq of its own, in the order of ``order``.
+
+        Equal ``order`` goes by key, value and kind. A row without key, or neither put nor delete, rejects all.
+        """
         self._open()
-        if not rows.filter(F.col("key").isNull() | (F.octet_length("key") == 0)).isEmpty():
+        rows = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.col("kind").cast("tinyint").alias("kind"), F.col("order").alias("_order"))
+        bad_key = F.coalesce(F.octet_length("key") == 0, F.lit(True))
+        bad_kind = ~F.coalesce(F.col("kind").isin(PUT, DELETE), F.lit(False)) | ((F.col("kind") == PUT) & F.col("value").isNull())
+        count, keyless, kindless = rows.agg(F.count(F.lit(1)), F.sum(bad_key.cast("long")), F.sum(bad_kind.cast("long"))).first()
+        if keyless:
             require_key(b"")
-        count, first = rows.count(), self.manifest["next_seq"]
-        newest = Window.partitionBy("key").orderBy(F.desc("order"))
-        # Within a batch only a key's newest operation can ever be read; its place is kept by order.
-        kept = rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1")
-        self._append(kept.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit(first + count - 1).cast("bigint").alias("seq"), F.col("kind").cast("tinyint").alias("kind")), count)
+        if kindless:
+            raise InvalidKey(f"{kindless} rows are neither puts with a value nor deletes")
+        if not count:
+            return 0
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        placed = number_in_order(rows, ["_order", "key", "value", "kind"], staged, count, self.manifest["next_seq"])
+        self._append(placed.select("key", "value", F.col("seq").cast("bigint").alias("seq"), "kind"), count)
+        files.remove(self.spark, staged)
         return count
 
     def _tables(self, names: list[str]) -> DataFrame:
@@ -106,12 +174,20 @@ class Store:
     def segments(self) -> DataFrame:
         return self._tables([s["path"] for s in self.manifest["segments"]])
 
+    def segment(self, entry: dict) -> Segment:
+        return Segment(self.spark, f"{self.path}/{entry['path']}")
+
     def delta(self) -> DataFrame:
         return self._tables(self.manifest["deltas"])
 
     def log(self) -> DataFrame:
         return self._tables([s["path"] for s in self.manifest["segments"]] + self.manifest["deltas"])
 
+    def bounds(self) -> DataFrame:
+        """The manifest's segments: (id, count, min_key, max_key)."""
+        rows = [(s["id"], s["count"], bytearray(base64.b64decode(s["min_key"])), bytearray(base64.b64decode(s["max_key"]))) for s in self.manifest["segments"]]
+        return self.spark.createDataFrame(rows, "id int, count bigint, min_key binary, max_key binary")
+
     def get(self, key: bytes) -> bytes | None:
         """The value or None. Segments whose key bounds exclude the key aren't read; in the others the equality filter
         meets row-group statistics and the Parquet Bloom filter."""
@@ -124,31 +200,43 @@ class Store:
         row = kv.get(self._tables(names + self.manifest["deltas"]), key).first()
         return None if row is None else bytes(row["value"])
 
+    def get_many(self, keys: DataFrame) -> DataFrame:
+        """The live entries of the column ``key``, in one read."""
+        self._open()
+        self.reads += 1
+        return kv.get_many(self.log(), keys)
+
     def scan(self, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
         self._open()
         self.scans += 1
         return kv.scan(self.log(), start, end)
 
-    def _write_segment(self, rows: DataFrame) -> list[dict]:
-        """Rows in key order, with a Bloom filter on the key; [] if there are none."""
+    def scan_many(self, ranges: list[tuple[bytes, bytes]]) -> DataFrame:
+        """(range, key, value, seq) for many ranges [start, end) in one read; an entry is in each range that holds it."""
+        self._open()
+        if len(ranges) > MOST_RANGES:
+            raise InvalidOptions(f"more than {MOST_RANGES} ranges; ask for them in parts")
+        self.scans += len(ranges)
+        wanted = self.spark.createDataFrame([(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(ranges)], "range int, _from binary, _to binary")
+        return kv.live(self.log()).join(F.broadcast(wanted), (F.col("key") >= F.col("_from")) & (F.col("key") < F.col("_to"))).select("range", "key", "value", "seq")
+
+    def _write_segment(self, rows: DataFrame, most: int) -> list[dict]:
+        """A segment's entry; [] if there are no rows. ``rows`` come from an aggregate by key, so keys are unique; there
+        are no more than ``most`` of them."""
         name, ident = f"segment-{uuid.uuid4().hex}", self.manifest["next_id"]
-        n = rows.count()
-        if not n:
+        b = Segment.create(rows, f"{self.path}/{name}", self.rate, self.segment_rows, most).metadata().first()
+        if not b["count"]:
+            files.remove(self.spark, f"{self.path}/{name}")
             return []
-        parts = max(1, -(-n // self.segment_rows))
-        ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
-        writer = ordered.select(*LOG.fieldNames()).write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.rate)).option("parquet.bloom.filter.expected.ndv#key", str(max(1, n // parts)))
-        writer.parquet(f"{self.path}/{name}")
-        b = self.spark.read.parquet(f"{self.path}/{name}").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).first()
-        return [{"id": ident, "path": name, "count": b["n"], "min_key": base64.b64encode(bytes(b["low"])).decode(), "max_key": base64.b64encode(bytes(b["high"])).decode()}]
+        return [{"id": ident, "path": name, "count": b["count"], "min_key": base64.b64encode(bytes(b["min_key"])).decode(), "max_key": base64.b64encode(bytes(b["max_key"])).decode()}]
 
     def flush(self) -> None:
         """The delta becomes a segment, tombstones included; nothing happens if it is empty."""
         self._open()
         if not self.manifest["deltas"]:
             return
-        old, new = self.manifest["deltas"], self._write_segment(kv.merge_latest(self.delta()))
-        self._swap(segments=self.manifest["segments"] + new, deltas=[], next_id=self.manifest["next_id"] + len(new))
+        old, new = self.manifest["deltas"], self._write_segment(kv.merge_latest(self.delta()), self.manifest.get("delta_rows") or self.delta().count())
+        self._swap(segments=self.manifest["segments"] + new, deltas=[], delta_rows=0, next_id=self.manifest["next_id"] + len(new))
         for n in old:
             files.remove(self.spark, f"{self.path}/{n}")
         self.flushes += 1
@@ -159,7 +247,7 @@ class Store:
         old = self.manifest["segments"]
         if len(old) < 2:
             return
-        new = self._write_segment(kv.compacted(self.segments()))
+        new = self._write_segment(kv.compacted(self.segments()), sum(s["count"] for s in old))
         self._swap(segments=new, next_id=self.manifest["next_id"] + len(new))
         for s in old:
             files.remove(self.spark, f"{self.path}/{s['path']}")

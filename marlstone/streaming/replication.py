@@ -1,21 +1,25 @@
 """Replication of an ordered journal with Structured Streaming.
 
 A primary's journal is a folder of Parquet files with dense seqs. A follower reads it as a stream and applies each
-micro-batch in one place: what is at or below its cursor is skipped, what doesn't follow the cursor is an error, and the
-cursor is saved together with the applied rows. A batch that runs twice therefore changes nothing.
+micro-batch: what is at or below its cursor is skipped, what doesn't follow the cursor is an error, and the cursor moves
+after the rows are there. A batch that runs twice therefore changes nothing.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import threading
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.model import JOURNAL, InvalidOptions, NotFollower, ReplicationGap, SequenceHole, StoreError, SyncInProgress
+from marlstone.model import (
+    JOURNAL, AlreadyPromoted, InvalidKey, InvalidOptions, NodeQuiesced, NotFollower, PromotionNotReady, PromotionRecordInvalid, PromotionSequenceMismatch, PromotionSourceMismatch, QuiesceFailedFenced,
+    ReplicationGap, SequenceHole, SyncInProgress)
 from marlstone.operators import kv
 from marlstone.sources import files, oplog
 
@@ -28,19 +32,23 @@ def as_log(entries: DataFrame) -> DataFrame:
     return entries.select("key", "value", "seq", F.when(F.col("op") == "delete", 2).otherwise(1).cast("tinyint").alias("kind"))
 
 
-def fresh(entries: DataFrame, cursor: int) -> DataFrame:
-    """The entries beyond the cursor, which must continue it without a hole or a repeated seq."""
-    new = entries.filter(F.col("seq") > cursor)
-    b = new.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("d"), F.sum((~F.col("op").isin("put", "delete")).cast("int")).alias("bad")).first()
+def fresh(entries: DataFrame, cursor: int) -> tuple[DataFrame, int, int]:
+    """The entries beyond the cursor, how many, and their last seq; they must continue it without a hole or a repeat.
+
+    An entry without a key, or that is neither put nor delete, rejects them all; so does a null in what decides that.
+    """
+    new = entries.filter(F.coalesce(F.col("seq") > cursor, F.lit(True)))
+    valid = F.col("op").isin("put", "delete") & (F.length("key") > 0) & F.col("seq").isNotNull()
+    b = new.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("d"), F.sum((~F.coalesce(valid, F.lit(False))).cast("long")).alias("bad")).first()
     if not b["n"]:
-        return new
+        return new, 0, cursor
+    if b["bad"]:
+        raise InvalidKey(f"{b['bad']} entries have no seq or key, or are neither put nor delete")
     if b["low"] != cursor + 1:
         raise SequenceHole(f"{b['low']} follows {cursor}")
     if b["n"] != b["high"] - cursor or b["d"] != b["n"]:
         raise SequenceHole(f"entries after {cursor} up to {b['high']} have holes or repeats")
-    if b["bad"]:
-        raise StoreError("an entry is neither put nor delete")
-    return new
+    return new, b["n"], b["high"]
 
 
 def lag(latest: int | None, applied: int) -> int | None:
@@ -49,41 +57,102 @@ def lag(latest: int | None, applied: int) -> int | None:
 
 
 class Journal:
-    """A primary's journal. ``baseline`` is the seq that a promoted primary starts after."""
+    """A primary's journal. ``baseline`` is the seq that a promoted primary starts after.
+
+    Each append is a folder that its first and last seq name, moved into place when it is whole; so the folders' names
+    alone tell the bounds, and a read opens those folders only that its range meets.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         record = files.read_record(spark, f"{self.path}/BASELINE.json")
         self.baseline = record["seq"] if record else 0
+        self.gate = threading.Lock()
 
     @property
     def entries_path(self) -> str:
         return f"{self.path}/entries"
 
-    def entries(self) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.entries_path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    def parts(self) -> list[tuple[int, int, str]]:
+        """(first, last, folder) of the appends, in order."""
+        found = []
+        for name in files.names(self.spark, self.entries_path):
+            if m := re.fullmatch(r"seq-(\d+)-(\d+)", name):
+                found.append((int(m[1]), int(m[2]), f"{self.entries_path}/{name}"))
+        found.sort()
+        for (_, last, _), (first, _, name) in zip(found, found[1:], strict=False):
+            if first != last + 1:
+                raise SequenceHole(f"{name} follows {last}")
+        return found
+
+    def bounds(self) -> tuple[int, int, int]:
+        """First available seq (0 if there is none), latest seq (the baseline if there is none), entries."""
+        found = self.parts()
+        return (found[0][0], found[-1][1], found[-1][1] - found[0][0] + 1) if found else (0, self.baseline, 0)
+
+    def entries(self, after: int = 0, to: int | None = None) -> DataFrame:
+        """The entries with ``after`` < seq <= ``to``, from the folders that hold such."""
+        met = [p for first, last, p in self.parts() if last > after and (to is None or first <= to)]
+        if not met:
             return self.spark.createDataFrame([], JOURNAL)
-        return self.spark.read.schema(JOURNAL).parquet(self.entries_path)
-
-    def append(self, rows: DataFrame) -> int:
-        """Appends (seq, op, key, value, timestamp) that continue the journal; the file commit is atomic."""
-        latest = self.latest()
-        new = fresh(rows, latest)
-        if (top := new.agg(F.max("seq")).first()[0]) == LAST_SEQ:
-            raise InvalidOptions("the journal is full")
-        new.coalesce(1).write.mode("append").parquet(self.entries_path)
-        return top or latest
+        rows = self.spark.read.schema(JOURNAL).parquet(*met).filter(F.col("seq") > after)
+        return rows if to is None else rows.filter(F.col("seq") <= to)
+
+    def fence(self) -> str | None:
+        """Why the journal takes no more writes: a quiesce that was begun or is done."""
+        record = files.read_record(self.spark, f"{self.path}/FENCE.json")
+        return record["state"] if record else None
+
+    def set_fence(self, state: str) -> None:
+        files.write_record(self.spark, f"{self.path}/FENCE.json", {"version": 1, "state": state})
+
+    def _require_open(self) -> None:
+        if state := self.fence():
+            raise (NodeQuiesced if state == "quiesced" else QuiesceFailedFenced)(f"the journal takes no writes: {state}")
+
+    def append(self, rows: DataFrame, part_rows: int = 1_000_000) -> int:
+        """Appends (seq, op, key, value, timestamp) that continue the journal; they are there at once or not at all.
+
+        The fence is looked at before the rows are written and again before they are moved into place.
+        """
+        with self.gate:
+            self._require_open()
+            latest = self.latest()
+            new, count, top = fresh(rows.select(*JOURNAL.fieldNames()), latest)
+            if not count:
+                return latest
+            if top == LAST_SEQ:
+                raise InvalidOptions("the journal is full")
+            parts = -(-count // part_rows)
+            dealt = new.repartitionByRange(parts, "seq") if parts > 1 else new.coalesce(1)
+            aside = f"{self.path}/aside-{uuid.uuid4().hex}"
+            dealt.sortWithinPartitions("seq").write.parquet(aside)
+            self._require_open()
+            files.move(self.spark, aside, f"{self.entries_path}/seq-{latest + 1:020d}-{top:020d}")
+            return top
 
     def latest(self) -> int:
-        return oplog.bounds(self.entries(), self.baseline).first()["latest_seq"]
+        return self.bounds()[1]
+
+    def check_gap(self, after: int) -> None:
+        first, latest, _ = self.bounds()
+        oplog.check_bounds(first, latest, after, self.baseline)
 
     def after(self, after: int, limit: int = oplog.DEFAULT_LIMIT) -> DataFrame:
-        oplog.check_gap(self.entries(), after, self.baseline)
-        return oplog.entries_after(self.entries(), after, limit)
+        """The next ``limit`` entries in order; all of them for a limit of zero or less. Seqs are dense, so the limit is a range."""
+        self.check_gap(after)
+        return self.entries(after, after + limit if limit > 0 else None).orderBy("seq")
 
     def stats(self) -> dict[str, int]:
-        return self.entries().transform(lambda e: oplog.bounds(e, self.baseline)).first().asDict() | {"baseline": self.baseline}
+        first, latest, n = self.bounds()
+        return {"first_available_seq": first, "latest_seq": latest, "entries": n, "baseline": self.baseline}
+
+    def drop_before(self, seq: int) -> int:
+        """Takes away the appends that end before ``seq``; the first seq that is left."""
+        for _, last, path in self.parts():
+            if last < seq:
+                files.remove(self.spark, path)
+        return self.bounds()[0]
 
     def set_baseline(self, seq: int) -> None:
         """A journal that starts after ``seq``. The same baseline again is no change; another one is a conflict."""
@@ -93,8 +162,8 @@ class Journal:
         if known and known["seq"] != seq:
             raise InvalidOptions(f"the journal's baseline is {known['seq']}")
         if not known:
-            first = oplog.bounds(self.entries()).first()
-            if first["entries"] and first["first_available_seq"] != seq + 1:
+            first, _, n = self.bounds()
+            if n and first != seq + 1:
                 raise InvalidOptions("the journal's entries don't follow that baseline")
             files.write_record(self.spark, f"{self.path}/BASELINE.json", {"version": 1, "seq": seq})
         self.baseline = seq
@@ -134,12 +203,14 @@ class Follower:
         self._busy = threading.Lock()
 
     def applied(self) -> DataFrame:
-        """Rows beyond the cursor belong to a batch that wasn't finished and don't count yet."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/applied")
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        """Rows beyond the cursor belong to a batch that wasn't finished and don't count yet.
+
+        A batch has the folder that its first seq names, so one that runs twice is there once.
+        """
+        if not files.exists(self.spark, f"{self.path}/applied"):
             return self.spark.createDataFrame([], JOURNAL)
         rows = self.spark.read.schema(JOURNAL).option("recursiveFileLookup", "true").parquet(f"{self.path}/applied")
-        return rows.filter(F.col("seq") <= self.cursor.seq).dropDuplicates(["seq"])
+        return rows.filter(F.col("seq") <= self.cursor.seq)
 
     def scan(self, start: str | None = None, end: str | None = None) -> DataFrame:
         return kv.scan(as_log(self.applied()), start, end)
@@ -152,10 +223,9 @@ class Follower:
         """Applies what continues the cursor, and saves the cursor once for the whole batch."""
         if self.role != "follower":
             raise NotFollower(f"a {self.role} applies no entries")
-        new = fresh(entries, self.cursor.seq)
-        count, top = new.agg(F.count(F.lit(1)), F.max("seq")).first()
+        new, count, top = fresh(entries, self.cursor.seq)
         if count:
-            new.write.mode("overwrite").parquet(f"{self.path}/applied/from-{self.cursor.seq + 1}")
+            new.write.mode("overwrite").parquet(f"{self.path}/applied/from-{self.cursor.seq + 1:020d}")
             self.cursor.save(top)
         return count
 
@@ -171,23 +241,33 @@ class Follower:
         """One pull of at most ``limit`` entries."""
 
         def once() -> SyncResult:
-            entries = self.primary.after(self.cursor.seq, limit).persist()
-            try:
-                fetched, applied = entries.count(), self.apply(entries)
-            finally:
-                entries.unpersist()
-            return SyncResult(fetched, applied, self.cursor.seq, lag(self.primary.latest(), self.cursor.seq))
+            before = self.cursor.seq
+            entries = self.primary.after(before, limit)
+            latest = self.primary.latest()
+            fetched = max(0, (min(latest, before + limit) if limit > 0 else latest) - before)  # seqs are dense
+            return SyncResult(fetched, self.apply(entries), self.cursor.seq, lag(latest, self.cursor.seq))
 
         return self._exclusively(once)
 
     def stream(self, files_each: int = 1, timeout: float | None = None) -> SyncResult:
-        """Catches up by a stream over the journal's files, a micro-batch for each ``files_each`` of them."""
+        """Catches up by a stream over the journal's files, a micro-batch for each ``files_each`` of them.
+
+        The source lists files by time, which may swap two appends. So a batch stands for its last seq: what the journal
+        holds from the cursor up to there is applied, in order, and a batch that came late has nothing left to add.
+        """
+
+        def upto(batch: DataFrame, _: int) -> None:
+            top = batch.agg(F.max("seq")).first()[0]
+            if top is not None and top > self.cursor.seq:
+                self.apply(self.primary.entries(self.cursor.seq, top))
 
         def run() -> SyncResult:
-            oplog.check_gap(self.primary.entries(), self.cursor.seq, self.primary.baseline)
+            self.primary.check_gap(self.cursor.seq)
             before = self.cursor.seq
-            source = self.spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files_each).parquet(self.primary.entries_path)
-            query = source.writeStream.foreachBatch(lambda batch, _: self.apply(batch)).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
+            if not self.primary.parts():
+                return SyncResult(0, 0, before, lag(self.primary.latest(), before))
+            source = self.spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files_each).option("recursiveFileLookup", "true").parquet(self.primary.entries_path)
+            query = source.writeStream.foreachBatch(upto).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination(timeout)
             if query.exception():
                 raise query.exception()
@@ -258,34 +338,44 @@ class Handover:
         return record
 
     def quiesce(self, journal: Journal, primary: str) -> dict:
+        """Fences the journal, waits for a write that is under way, and records the last seq. Repeats give the same record."""
         if done := self._read("quiesced"):
+            journal.set_fence("quiesced")
             files.remove(self.spark, f"{self.path}/intent.json")
             return done
         self._write("intent", {"version": 1, "primary": primary})
-        record = self._write("quiesced", {"version": 1, "primary": primary, "path": journal.path, "last_seq": journal.latest()})
+        journal.set_fence("quiesce_failed_fenced")
+        with journal.gate:
+            record = self._write("quiesced", {"version": 1, "primary": primary, "path": journal.path, "last_seq": journal.latest()})
+        journal.set_fence("quiesced")
         files.remove(self.spark, f"{self.path}/intent.json")
         return record
 
     def may_write(self) -> bool:
-        """A primary with an intent or a final record takes no more writes."""
+        """A primary with an intent or a final record takes no more writes; its journal's fence sees to that."""
         return self._read("intent") is None and self._read("quiesced") is None
 
     def promote(self, follower: Follower, quiesced: dict, journal_path: str, confirmed: bool) -> Journal:
         if not confirmed:
-            raise InvalidOptions("a promotion needs the operator's confirmation")
+            raise PromotionNotReady("a promotion needs the operator's confirmation")
         if quiesced != self._read("quiesced"):
-            raise InvalidOptions("that isn't the quiesced primary's record")
+            raise PromotionRecordInvalid("that isn't the quiesced primary's record")
         if quiesced["path"] != follower.primary.path:
-            raise InvalidOptions("the follower follows another primary")
+            raise PromotionSourceMismatch("the follower follows another primary")
+        if (others := [n for n in self.promoted() if n != follower.cursor.follower]):
+            raise AlreadyPromoted(f"{others[0]} was promoted already")
         durable = Cursor(self.spark, follower.cursor.path, follower.cursor.follower, follower.cursor.primary).seq
         if not durable == follower.cursor.seq == quiesced["last_seq"]:
-            raise InvalidOptions(f"the follower is at {durable}, the primary stopped at {quiesced['last_seq']}")
+            raise PromotionSequenceMismatch(f"the follower is at {durable}, the primary stopped at {quiesced['last_seq']}")
         journal = Journal(self.spark, journal_path)
         journal.set_baseline(quiesced["last_seq"])
         self._write(f"promoted-{follower.cursor.follower}", {"version": 1, "node": follower.cursor.follower, "baseline": quiesced["last_seq"]})
         follower.role = "primary"
         return journal
 
+    def promoted(self) -> list[str]:
+        return [m[1] for n in files.names(self.spark, self.path) if (m := re.fullmatch(r"promoted-(.+)\.json", n))]
+
     def role(self, node: str, configured: str) -> str:
         """What a node is when it starts: a promotion outranks quiescing, which outranks the configuration."""
         if self._read(f"promoted-{node}"):

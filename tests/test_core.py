@@ -256,3 +256,243 @@ def test_percentiles(spark):
 @pytest.mark.parametrize("name", ["write-heavy", "read-heavy", "mixed", "scan", "compaction", "restart"])
 def test_workloads_run(spark, name):
     assert workload.run(spark, files.scratch(spark, "work"), name)["operations"] > 0
+
+
+def test_store_gives_each_operation_a_seq(spark):
+    s = Store(spark, files.scratch(spark, "seqs"))
+    ops = spark.createDataFrame([("b", "1", 1, 3), ("a", "1", 1, 1), ("b", None, 2, 4), ("c", "", 1, 2)], "key string, value string, kind int, order int")
+    assert s.write(ops) == 4 and s.write(ops.filter("key = 'a'")) == 1
+    assert sorted((r["seq"], bytes(r["key"]).decode(), r["kind"]) for r in s.log().collect()) == [(1, "a", 1), (2, "c", 1), (3, "b", 1), (4, "b", 2), (5, "a", 1)]
+    for bad in [(None, "1", 1, 1), ("", "1", 1, 1), ("a", None, 1, 1), ("a", "1", None, 1), ("a", "1", 3, 1)]:
+        with pytest.raises(InvalidKey):
+            s.write(ops.union(spark.createDataFrame([bad], ops.schema)))
+    assert s.manifest["next_seq"] == 6 and s.write(ops.filter("false")) == 0
+
+
+def test_numbering_over_many_ranges(spark):
+    from marlstone.functions.ranking import number_in_order
+
+    for each in (400, 5000):
+        path = f"{files.scratch(spark, 'numbers')}/t"
+        rows_ = spark.range(5000).withColumn("o", F.pmod(F.xxhash64("id"), F.lit(900)))
+        got = [(r["o"], r["id"], r["seq"]) for r in number_in_order(rows_, ["o", "id"], path, 5000, 11, each=each).orderBy("seq").collect()]
+        assert [s for _, _, s in got] == list(range(11, 5011)) and got == sorted(got)
+
+
+def test_log_refuses_what_it_cannot_tell(spark, log):
+    from marlstone.sources.oplog import OpLog
+
+    path = f"{files.scratch(spark, 'nulls')}/log"
+    for bad in [("a", "1", 1, None), (None, "1", 1, 1), ("a", "1", None, 1), ("", "1", 1, 1)]:
+        with pytest.raises(InvalidKey):
+            oplog.append(spark.createDataFrame([bad], LOG), path)
+    oplog.append(log, path)
+    spark.read.parquet(path).withColumn("crc", F.when(F.col("seq") != 3, F.col("crc"))).write.parquet(f"{path}-null")
+    with pytest.raises(CorruptRecord):
+        oplog.replay(spark, f"{path}-null")
+    own = OpLog(spark, f"{path}-own")
+    assert own.append(log.withColumnRenamed("seq", "order")) == 7 and OpLog(spark, f"{path}-own").seq == 7
+
+
+def test_holes_behind_empty_blocks(spark):
+    seqs = [1, 2, 3, 9, 10, 11, 12, 40, 41, 90]
+    got = oplog.holes(spark.createDataFrame([(s,) for s in seqs], "seq bigint"), block=4)
+    assert sorted(rows(got, "seq", "previous")) == [(9, 3), (40, 12), (90, 41)]
+
+
+def test_segment_wants_unique_keys(spark, log):
+    from marlstone.sources.store import Segment
+
+    path, binary = files.scratch(spark, "segment"), log.withColumn("key", F.col("key").cast("binary")).withColumn("value", F.col("value").cast("binary"))
+    for bad in (binary, binary.filter("false")):
+        with pytest.raises(InvalidOptions):
+            Segment.create(bad, f"{path}/bad")
+    s = Segment.create(kv.merge_latest(binary), f"{path}/good")
+    assert s.get(b"b").first()["kind"] == 2 and s.get(b"zz").isEmpty() and s.metadata().first()["count"] == 5
+    assert all(s.may_contain(k) for k in (b"a", b"b", b"c")) and not all(s.may_contain(f"no-{i}".encode()) for i in range(20))
+
+
+def test_search_wants_the_dimension(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0]), ("c", None), ("d", [1.0, None]), ("e", [float("nan"), 1.0]), ("f", [])], VEC)
+    for metric in vector.METRICS:
+        assert [r["id"] for r in vector.search(df, [1.0, 2.0], 9, metric).collect()] == ["a"]
+        many = vector.search_many(df, spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, query array<float>"), 9, metric)
+        assert [r["id"] for r in many.collect()] == ["a"]
+    with pytest.raises(InvalidVector):
+        vector.search(df, [1.0], 9, dimension=2)
+    with pytest.raises(InvalidVector):
+        vector.search_many(df, spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "query_id int, query array<float>"), 9)
+    assert vector.search_many(df, spark.createDataFrame([], "query_id int, query array<float>"), 9).count() == 0
+
+
+def test_search_many_breaks_ties_by_id(spark):
+    same = [0.1 * i - 0.3 for i in range(7)]
+    df = spark.createDataFrame([(f"{i:03d}", same if i % 3 else [x + 1 for x in same]) for i in range(300)], VEC)
+    for metric in vector.METRICS:
+        got = vector.search_many(df, spark.createDataFrame([(1, same)], "query_id int, query array<float>"), 12, metric).orderBy("rank").collect()
+        want = vector.search(df, same, 12, metric).collect()
+        assert [r["id"] for r in got] == [r["id"] for r in want]
+
+
+def test_vector_store_reopens(spark):
+    path = files.scratch(spark, "vectors")
+    s = vector.VectorStore(spark, 2, "l2", "ns", path)
+    s.upsert_all(spark.createDataFrame([("a", [1.0, 0.0], None), ("b", [0.0, 1.0], bytearray(b"m"))], "id string, vector array<float>, metadata binary"))
+    s.flush()
+    s.upsert("a", [5, 5])
+    s.close()
+    with pytest.raises(Closed):
+        s.upsert("c", [1, 1])
+    s = vector.VectorStore(spark, 2, "l2", "ns", path)
+    assert s.get("a")["vector"] == [5.0, 5.0] and s.get("b")["metadata"] == b"m" and s.count() == 2
+    assert vector.VectorStore(spark, 2, "l2", "other", path).count() == 0
+    s.delete("a")
+    s.flush()
+    s.compact()
+    assert [r["id"] for r in vector.VectorStore(spark, 2, "l2", "ns", path).live().collect()] == ["b"]
+    with pytest.raises(InvalidVector):
+        s.upsert_all(spark.createDataFrame([("x", [1.0], None)], "id string, vector array<float>, metadata binary"))
+    assert explain.explain_upsert(s, "z", [1, 2]).steps[-1].metadata == {"index_size": "2"}
+    assert explain.explain_vector_delete(s, "z").steps[1].metadata["existed"] == "True"
+
+
+def test_codecs(spark, tmp_path):
+    from marlstone.sources import codecs
+
+    frames = [(1, 1, b"a", b"x"), (2, 2, b"a", b""), (3, 1, b"k\x00", b"")]
+    raw = b"".join(codecs.encode_frame(*f) for f in frames)
+    assert list(codecs.decode_frames(raw)) == frames and list(codecs.decode_frames(raw[:-3])) == frames[:2] and list(codecs.decode_frames(raw + b"\x01")) == frames
+    with pytest.raises(CorruptRecord):
+        list(codecs.decode_frames(raw[:-1] + b"\x07"))
+    (tmp_path / "wal").write_bytes(raw)
+    assert [(r["seq"], r["kind"], bytes(r["key"]), r["value"] and bytes(r["value"])) for r in codecs.read_frames(spark, f"file://{tmp_path}/wal").orderBy("seq").collect()] == [(1, 1, b"a", b"x"), (2, 2, b"a", None), (3, 1, b"k\x00", bytearray(b""))]
+    record = codecs.encode_vector([1.5, -2.0], b"meta")
+    vector_, meta = codecs.decode_vector(record, 2)
+    assert vector_.tolist() == [1.5, -2.0] and meta == b"meta" and len(record) == 42 and record[:8] == b"CEVDRAHS"
+    for bad in (record + b"x", record[:-1], b"\x00" + record[1:], record[:20] + b"\xff" + record[21:]):
+        with pytest.raises(CorruptRecord):
+            codecs.decode_vector(bad, 2)
+    with pytest.raises(CorruptRecord):
+        codecs.decode_vector(record, 3)
+
+
+def test_explain_get_steps(spark):
+    s = Store(spark, files.scratch(spark, "steps"))
+    for part in (["a", "b", "c"], ["x", "y", "z"], ["b", "m"]):
+        for k in part:
+            s.put(k.encode(), k.encode())
+        if "a" in part:
+            s.delete(b"c")
+        s.flush()
+    s.put(b"q", b"1")
+    steps = lambda k: [x.step_type for x in explain.explain_get(s, k).steps[1:]]
+    assert steps(b"q") == ["MEMTABLE_HIT"]
+    assert steps(b"b") == ["MEMTABLE_MISS", "BLOOM_CHECK", "SSTABLE_HIT"]
+    assert steps(b"a") == ["MEMTABLE_MISS", "BOUNDS_SKIP", "BOUNDS_SKIP", "BLOOM_CHECK", "SSTABLE_HIT"]
+    assert steps(b"zz") == ["MEMTABLE_MISS", *["BOUNDS_SKIP"] * 3, "NOT_FOUND"]
+    t = explain.explain_get(s, b"c")
+    assert t.steps[-1].metadata["tombstone"] == "true" and t.steps[-1].status == "miss"
+    absent = next(k for k in (f"b{i}".encode() for i in range(99)) if "BLOOM_SKIP" in steps(k))
+    assert steps(absent)[-1] == "NOT_FOUND"
+    with pytest.raises(InvalidKey):
+        explain.explain_put(s, b"", b"v")
+    with pytest.raises(InvalidOptions):
+        explain.get_steps(s.log().withColumn("source", F.lit("s")), [])
+
+
+def test_gateway_and_proxy(spark):
+    from marlstone.model import UnknownNode
+    from marlstone.operators.gateway import Gateway, Proxy
+
+    g = Gateway.of(spark, cluster.Cluster.default(), files.scratch(spark, "gateway"))
+    p = Proxy(g)
+    assert p.handle("PUT", "/kv/user:1", {"value": "v"}) == (200, {"key": "user:1", "ok": True, "node": "node-2"})
+    assert g.get("user:1") == "v" and p.handle("GET", "/kv/user:1")[1]["value"] == "v" and p.handle("GET", "/route/order:9")[1]["node"] == "node-1"
+    assert [r["key"] for r in g.scan_node("node-2").collect()] == ["user:1"] and g.scan_node("node-1").isEmpty()
+    assert p.handle("GET", "/scan-node/nope")[0] == 404 and p.handle("GET", "/kv/")[0] == 400 and p.handle("POST", "/kv/a")[0] == 405 and p.handle("GET", "/x")[0] == 404
+    g.delete("user:1")
+    assert g.get("user:1") is None
+    assert p.handle("POST", "/flush-all")[0] == 200 and [r["healthy"] for r in g.health_all().collect()] == [True] * 3
+    g.nodes["node-3"].close()
+    assert [r["node"] for r in g.health_all().filter("not healthy").collect()] == ["node-3"] and p.handle("POST", "/compact-all")[0] == 502
+    assert set(g.forward_to_all("GET", "/healthz")) == {"node-1", "node-2", "node-3"}
+    with pytest.raises(UnknownNode):
+        g.scan_node("nope")
+    g.close()
+    assert p.handle("GET", "/kv/a")[0] == 503
+
+
+def test_servers_and_command_line(spark, tmp_path, capsys):
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from marlstone.__main__ import main
+    from marlstone.operators.node import Node
+    from marlstone.serve import server
+
+    http = server(Node(spark, files.scratch(spark, "http"), "node-1"))
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{http.server_address[1]}"
+    ask = lambda method, path, body=None: json.loads(urlopen(Request(base + path, json.dumps(body).encode() if body else None, method=method)).read())  # noqa: E731, S310
+    assert ask("PUT", "/kv/a%20b", {"value": "1"})["key"] == "a b" and ask("GET", "/kv/a%20b")["value"] == "1"
+    with pytest.raises(HTTPError) as e:
+        ask("PUT", "/kv/", {"value": "1"})
+    assert e.value.code == 400
+    c = cluster.Cluster.default()
+    c.nodes[0].base_url = base
+    (tmp_path / "c.json").write_text(c.to_json())
+    (tmp_path / "two.json").write_text(cluster.Cluster.default(2).to_json())
+    at = str(tmp_path / "c.json")
+    assert main(["cluster", "validate", at]) == 0 and main(["cluster", "health", at]) == 0
+    assert '"healthy": 1' in capsys.readouterr().out
+    http.shutdown()
+    assert main(["cluster", "simulate-failure", at, "--down", "node-2", "--key", "user:1", "--key", "order:9"]) == 0
+    assert '"affected_keys": 1' in capsys.readouterr().out
+    assert main(["cluster", "plan-rebalance", at, str(tmp_path / "two.json"), "--key", "item:42"]) == 0
+    assert '"moved_keys": 1' in capsys.readouterr().out
+    assert main(["cluster", "example-read-replica-3node"]) == 0 and main(["version"]) == 0
+    assert cluster.Cluster.read_replicas().validate().nodes[1].replication.primary == "node-1"
+    assert main(["cluster", "validate", str(tmp_path / "none.json")]) == 1
+
+
+def test_config():
+    pytest.importorskip("yaml")
+    from marlstone.sources.config import Config
+
+    assert Config.parse("") == Config() and Config.parse("server:\n  port: 1\n  other: 2\nlog: {level: warn}\n").level == "warn"
+    for bad in ("server: {port: 0}", "server: {port: x}", "log: {level: loud}", "log: {format: xml}", "- 1", "a: ["):
+        with pytest.raises(InvalidOptions):
+            Config.parse(bad)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, _, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(InvalidOptions):
+        files.shared_root(Session())
+
+
+def test_generated_values_agree():
+    import numpy as np
+
+    index = [0, 1, 5, 10**9]
+    assert workload.values(np.array(index), 20) == [workload.value(i, 20) for i in index]
+
+
+def test_percentiles_over_ranges(spark):
+    import random
+
+    r = random.Random(1)
+    values = [r.choice([0.0, 1.5, r.random()]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert tuple(workload.percentiles(df, "v", [1, 50, 95, 99], ranges=16).first()) == tuple(workload.percentile(values, p) for p in (1, 50, 95, 99))
+    assert tuple(workload.percentiles(df.filter("false"), "v", [50]).first()) == (None,)

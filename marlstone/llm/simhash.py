@@ -39,7 +39,7 @@ RULE_SHINGLE, SIMILAR = 5, 0.8
 #: Bands of minima, and minima of a band: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
 #: Bits by which pairs that can't be similar are told before their sets are read.
-CELLS = 512
+CELLS = 2048
 
 
 def fingerprint(text: str) -> int:
@@ -324,34 +324,54 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.filter(shared >= F.lit(least) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def _apart(open_: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of a bucket in different components that the bound by CELLS bits lets through, each pair once.
+
+    Most members of a large bucket are in one component by now; those aren't held against one another, only the others
+    against them and among themselves. A pair that shares several buckets belongs to the first of them.
+    """
+    sized = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sized.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")).withColumnRenamed("key", "k")
+    marked = common.settle(open_.join(main, F.col("key") == F.col("k")).drop("k"), "open")
+    x, y = marked.filter("root <> main").alias("x"), marked.alias("y")
+    words = range(CELLS // 64)
+    only = lambda p, q: sum((F.bit_count(F.col(f"{p}.cells")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}.cells")[i]))) for i in words), F.lit(0))
+    total = F.col("x.n") + F.col("y.n")
+    fits = lambda most: most * (1 + least) + 1e-6 >= F.lit(least) * total
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.s") < F.col("y.s"))
+    # Both sizes, then the shingles that one side has alone at least, bound what the two can share.
+    near = fits(F.least("x.n", "y.n")) & fits(F.col("x.n") - only("x", "y")) & fits(F.col("y.n") - only("y", "x"))
+    first = ~F.arrays_overlap("x.before", "y.before")
+    tried = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & near & first)
+    return tried.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b"))
+
+
 def similar_components(documents: DataFrame, made: DataFrame, least: float) -> DataFrame:
     """(node, least) over the sets of shingles that have a partner of similarity ``least`` or more.
 
     Sets that share a band key are candidates. Each is first held against one member of its buckets, then twice against
-    those of other components, so a large group of near copies costs a few pairs a member. Last, all pairs of a bucket that are still in different components are
-    held against one another: a pair that never is compared is joined already, so the components are those of all candidates.
+    those of other components, so a large group of near copies costs a few pairs a member. Last, all pairs of a bucket
+    that are still in different components are held against one another (``_apart``): a pair that never is compared is
+    joined already, so the components are those of all candidates.
     """
     distinct = common.settle(made.groupBy("s").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark")).alias("w"), F.first("bands").alias("bands")), "sets")
-    keyed = distinct.select("s", F.explode("bands").alias("key"))
+    keyed = distinct.select("s", F.posexplode("bands").alias("band", "key"))
     buckets = common.settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low")).filter("n > 1").select(F.col("key").alias("k"), "low"), "buckets")
-    shared = common.settle(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "s", "low"), "shared")
+    shared = common.settle(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "band", "s", "low"), "shared")
     named = common.settle(shared.select("s").distinct().withColumnRenamed("s", "x"), "candidates")
     wanted = common.settle(distinct.join(named, F.col("s") == F.col("x")).select("s", "w.id", "w.mark"), "wanted")
     sets = common.settle(_sets_of(documents, wanted), "shingles")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     now = components(_similar(shared.groupBy("s").agg(F.min("low").alias("hub")).filter("s <> hub").select(*pair("s", "hub")), sets, least))
     for last in (False, False, True):
-        members = common.settle(shared.select("key", "s").join(now, F.col("s") == F.col("node"), "left").select("key", "s", F.coalesce("least", "s").alias("root")), "members")
+        members = common.settle(shared.select("key", "band", "s").join(now, F.col("s") == F.col("node"), "left").select("key", "band", "s", F.coalesce("least", "s").alias("root")), "members")
         apart = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("s", "root").alias("s0"), F.max_by("s", "root").alias("s1")).filter("r0 <> r1").withColumnRenamed("key", "k")
         open_ = members.join(common.settle(apart, "apart"), F.col("key") == F.col("k"))
         if last:
-            n = sets.select(F.col("s").alias("_s"), F.size("shingles").alias("n"), "cells")
-            open_ = common.settle(open_.join(n, F.col("s") == F.col("_s")).select("key", "s", "root", "n", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(CELLS // 64)]), "open")
-            x, y = open_.alias("x"), open_.alias("y")
-            only = lambda p, q: sum((F.bit_count(F.col(f"{p}.c{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}.c{i}")))) for i in range(CELLS // 64)), F.lit(0))
-            most = F.least(F.col("x.n") - only("x", "y"), F.col("y.n") - only("y", "x"))  # shared shingles at most
-            near = most * (1 + least) + 1e-6 >= F.lit(least) * (F.col("x.n") + F.col("y.n"))
-            tried = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+            about = sets.select(F.col("s").alias("_s"), F.size("shingles").alias("n"), "cells").join(distinct.select(F.col("s").alias("_t"), "bands"), F.col("_s") == F.col("_t"))
+            # The keys of the bands before this one tell whether a pair has met before.
+            before = F.when(F.col("band") > 0, F.slice("bands", 1, F.greatest(F.col("band"), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+            tried = _apart(open_.join(about, F.col("s") == F.col("_s")).select("key", "s", "root", "n", "cells", before.alias("before")), least)
         else:
             tried = open_.filter("root <> r0").select(*pair("s", "s0")).union(open_.filter("root <> r1").select(*pair("s", "s1")))
         found = common.settle(_similar(common.settle(tried.distinct(), "tried"), sets, least), "similar")

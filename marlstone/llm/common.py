@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,29 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from marlstone.sources import files
+
 #: Words are what stands between these characters (space and the ASCII controls 9 to 13).
 SPACE_CLASS = r"\x20\x09-\x0D"
 
-_own_root: str | None = None
+_settled: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a new local one."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if _own_root is None:
-        _own_root = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-    return _own_root
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a local one of a local master."""
+    return files.shared_root(spark)
 
 
-def _sweep(spark: SparkSession, path: str) -> None:
-    """Deletes a settled table when the driver ends; a session that is gone already is left alone."""
-    if spark.sparkContext._jsc is None:
-        return
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+@atexit.register
+def _sweep() -> None:
+    """Deletes what is still settled when the driver ends; a session that is gone already is left alone."""
+    for path, spark in _settled.items():
+        if spark.sparkContext._jsc is not None:
+            files.remove(spark, path)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -45,8 +40,35 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_sweep, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _settled[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def drop(settled: DataFrame) -> None:
+    """Deletes a settled table that nothing reads any more."""
+    path = settled._settled
+    files.remove(_settled.pop(path), path)
+
+
+def sample_by_hash(rows: DataFrame, most: int, keys: list[Column], count: int) -> DataFrame:
+    """At most ``most`` of ``count`` rows: those whose keys have the smallest hashes, so reruns agree.
+
+    A threshold on the hash, from the count, leaves little more than the sample: what meets in one place is bounded by it,
+    not by the number of partitions. Where many rows have one key the sample may be smaller.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(*keys))
+    if count > 2 * most:
+        hashed = hashed.filter(F.col("_h") < F.lit(int((1.5 * most / count - 0.5) * 2**64)))
+    order = [F.col("_h"), *keys]
+    return hashed.orderBy(*order).limit(most).drop("_h")
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """A hash over all columns: rows that share it can't be told apart."""
+    one = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*[one(f) for f in rows.schema])
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -90,8 +112,8 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "ra
 def keep_keyed(documents: DataFrame, key: Column, kept: DataFrame, copies: bool = False) -> DataFrame:
     """The documents whose ``key`` (a string) is in ``kept`` (k, and n where ``copies``), one for each key, n times.
 
-    All columns travel as one struct, so their names can't clash with the join's. Rows of one key can't be told
-    apart by it: one of them stands for all. The join deals the rows by the key, which the last step uses again.
+    All columns travel as one struct, so their names can't clash with the join's. Of the rows of one key one stands for
+    all. The join deals the rows by the key, which the last step uses again.
     """
     packed = documents.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
     once = packed.join(kept, F.col("key") == F.col("k")).dropDuplicates(["key"])

@@ -58,27 +58,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+  SELECT q.place, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.place <> c.place AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
 """
 
-OP5_SQL = """
-WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'anonymous' ELSE role END AS speaker, coalesce(text, '') AS text FROM conversations),
+OP5_SQL = r"""
+WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'anonymous' ELSE role END AS speaker, coalesce(text, '') AS raw FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 r AS (
-  SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+  SELECT t.*, perspective, replace(raw, '<|', '<\|') AS text, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role, regexp_replace(speaker, '[\x00-\x1F\x7F<|>]', '_', 'g') AS shown
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r)
-SELECT conv_id, perspective, turn, md5(speaker || chr(10) || text) AS place, speaker, role, CASE WHEN role = 'user' THEN speaker END AS name,
-  head || text || '<|im_end|>' || chr(10) AS piece, (role = 'assistant')::INTEGER AS loss,
-  CASE WHEN role = 'assistant' THEN length(head) END AS loss_from, CASE WHEN role = 'assistant' THEN length(head || text || '<|im_end|>' || chr(10)) END AS loss_to
-FROM h
+h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || shown ELSE '' END || chr(10) AS head, md5(speaker || chr(10) || raw) AS place FROM r),
+e AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM h)
+SELECT conv_id, perspective, turn, place, speaker, role, CASE WHEN role = 'user' THEN shown END AS name, piece,
+  coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at,
+  (role = 'assistant')::INTEGER AS loss, CASE WHEN role = 'assistant' THEN length(head) END AS loss_from, CASE WHEN role = 'assistant' THEN length(piece) END AS loss_to
+FROM e
 """
 
 OP10_SQL = r"""

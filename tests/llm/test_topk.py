@@ -49,3 +49,57 @@ def test_annuli_stop_early():
     x[topk.ANNULUS :] = 1e6
     best = topk.search_cell(np.arange(len(x)), x, r, np.array([-1]), np.array([[1.0, 0.0]]), np.array([0.0]), np.array([-np.inf]), 100.0, 20)
     assert best.scores[0].max() == 0
+
+
+def run(spark, rows, kind="array<double>"):
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding {kind}")
+    return sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0, pivots=4).select("query_id", "rank", "vec_id", "score").collect())
+
+
+def whole_brute(rows, k=20):
+    """Rows are rows, also where ids repeat; widths meet their own alone; Python's whole numbers."""
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    out = []
+    for a, (q, e) in enumerate(ints):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(e, v, strict=True)), i) for b, (i, v) in enumerate(ints) if b != a and len(v) == len(e))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_twins_are_candidates(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [-1.0, 0.5]), (3, [0.5, 0.5]), (3, [0.5, 0.5]), (20, [2.0, 1.0])]
+    got = run(spark, rows)
+    assert got == whole_brute(rows) and (0, 1, 0, 64 * 64 * 5) in got
+
+
+def test_widths_meet_their_own(spark):
+    rows = [(20, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0]), (40, [3.0]), (60, [1.0, 1.0, 1.0])]
+    assert run(spark, rows) == whole_brute(rows)
+
+
+@pytest.mark.parametrize("scale", [1e5, 1e6, 3e6 / 7])
+def test_scores_are_exact_beyond_doubles(spark, scale):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(-9, 9, 4) * scale + rng.integers(0, 3, 4) / 64).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[i][1][:3] + [rows[i][1][3] + 1 / 64]) for i in range(20)]  # scores that differ in the last bits
+    assert run(spark, rows) == whole_brute(rows)
+
+
+def test_long_vectors_whose_scores_fit(spark):
+    rows = [(20 * i, [float(i), 1.0, -2.0]) for i in range(12)] + [(240, [5e7, 3.0, 1 / 64]), (7, [0.0, 1e12, 1.0])]
+    assert run(spark, rows) == whole_brute(rows)
+
+
+def test_scores_that_leave_64_bits_are_refused(spark):
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        run(spark, [(0, [5e9, 0.0]), (1, [5e9, 1.0])])
+    with pytest.raises(ValueError, match="too long"):
+        run(spark, [(0, [1e30, 0.0]), (1, [1.0, 1.0])])
+
+
+def test_cells_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_QUERIES", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(0, 800, 2)]
+    assert run(spark, rows) == whole_brute(rows)

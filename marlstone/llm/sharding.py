@@ -3,8 +3,9 @@
 Rows with equal texts form an atomic group. Groups stand in the order of their texts' SHA-256, so a row knows its
 place from its own text and seven cut digests are all that has to reach the rows: no join, and a text that a third of
 the rows share costs nothing extra. The smallest capacity for which the greedy walk needs no more than the given
-number of shards is searched over distributed prefix sums; within that capacity the cuts are then made as even as whole
-groups allow.
+number of shards is searched over distributed prefix sums, and the cuts are those of that walk. A group larger than an
+even share decides the capacity alone, and the walk would then leave the last shards empty: such a group has a shard of its
+own, and the same search runs again on what lies before and after it, for the shards that are left.
 
 Defined results: null text has size 1 and stands with the empty text (CRC 0). Repeated rows each have a slot. Shards
 that get no group stay empty. An empty table gives an empty result. Extra columns are ignored.
@@ -22,7 +23,8 @@ from marlstone.llm import common
 
 #: Buckets of the first 16 bits of a digest; the driver holds a sum for each (65,536 numbers at most).
 BUCKET_BITS = 16
-#: Capacities tried at once in a round of the search; this many rows at most are broadcast and come back.
+#: Each round of the search divides the capacities that are left by this, as a round is a pass over the table and not one
+#: step: halving tries one capacity a pass, this many share it. As many rows at most are broadcast and come back.
 PROBES = 511
 
 
@@ -39,7 +41,8 @@ class PrefixSums:
 
     def __init__(self, groups: DataFrame) -> None:
         within = Window.partitionBy("bucket").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)
-        sized = groups.withColumn("bucket", _bucket("digest")).withColumn("up_to", F.sum("size").over(within))
+        # In ranges of buckets, so that a probe for some of them reads few files.
+        sized = groups.withColumn("bucket", _bucket("digest")).repartitionByRange("bucket").withColumn("up_to", F.sum("size").over(within))
         self.table = common.settle(sized.select("bucket", "digest", "size", "up_to"), "group-sums")
         self.spark: SparkSession = groups.sparkSession
         rows = self.table.groupBy("bucket").agg(F.sum("size").alias("s"), F.max("size").alias("m")).collect()
@@ -64,7 +67,8 @@ class PrefixSums:
         if asked:
             values = ",".join(f"({x}L,{b},{y}L)" for x, b, y, _ in asked)
             probes = self.spark.sql(f"SELECT * FROM VALUES {values} AS t(x, b, y)")
-            found = self.table.join(F.broadcast(probes), F.col("bucket") == F.col("b")).groupBy("x").agg(
+            met = self.table.filter(F.col("bucket").isin(sorted({b for _, b, _, _ in asked})))
+            found = met.join(F.broadcast(probes), F.col("bucket") == F.col("b")).groupBy("x").agg(
                 F.max(F.when(F.col("up_to") <= F.col("y"), F.struct("up_to", "digest"))).alias("last"), F.min(F.when(F.col("up_to") > F.col("y"), F.col("up_to"))).alias("next"))
             got = {r["x"]: r for r in found.collect()}
             for x, _, _, before in asked:
@@ -80,62 +84,86 @@ class PrefixSums:
         rows = self.table.filter(F.col("size") > F.lit(size)).select("bucket", "up_to", "size").collect()
         return sorted((before[r["bucket"]] + r["up_to"] - r["size"], r["size"]) for r in rows)
 
-    def walk(self, capacities: list[int], shards: int) -> dict[int, list[int]]:
-        """The greedy walk for many capacities at once: where each shard ends."""
-        ends: dict[int, list[int]] = {c: [] for c in capacities}
-        for _ in range(shards):
-            limits = {(ends[c][-1] if ends[c] else 0) + c for c in capacities}
-            found = self.ends(limits)
-            for c in capacities:
-                ends[c].append(found[(ends[c][-1] if ends[c] else 0) + c][0])
-        return ends
-
+    def walk(self, capacities: list[int], shards: int, segments: list[tuple[int, int]]) -> dict[int, list[list[int]]]:
+        """The greedy walk over each segment (from, to) for many capacities at once: where shards end, by segment.
 
-def smallest_capacity(sums: PrefixSums, shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity that the greedy walk can keep to, and where its shards end."""
-    low, high = max(sums.largest, -(-sums.total // shards)), sums.total // shards + sums.largest + 1
-    best = (high, [])
+        Capacities for which the segments need more shards than there are, or that a group exceeds, are missing.
+        """
+        ends: dict[int, list[list[int]]] = {c: [[]] for c in capacities}
+        at = {c: segments[0][0] for c in capacities}
+        done: dict[int, list[list[int]]] = {}
+        for _ in range(shards):
+            limits = {c: min(at[c] + c, segments[len(ends[c]) - 1][1]) for c in at}
+            found = self.ends(set(limits.values()))
+            for c, limit in limits.items():
+                end = found[limit][0]
+                if end <= at[c]:
+                    del at[c]
+                    continue
+                at[c] = end
+                ends[c][-1].append(end)
+                if end == segments[len(ends[c]) - 1][1]:
+                    if len(ends[c]) == len(segments):
+                        done[c] = ends[c]
+                        del at[c]
+                    else:
+                        at[c] = segments[len(ends[c])][0]
+                        ends[c].append([])
+            if not at:
+                break
+        return done
+
+
+def smallest_capacity(sums: PrefixSums, shards: int, segments: list[tuple[int, int]] | None = None, largest: int | None = None) -> tuple[int, list[list[int]]]:
+    """The smallest capacity for which the greedy walk over the segments needs no more than ``shards``, and where they end."""
+    segments = segments or [(0, sums.total)]
+    largest, total = sums.largest if largest is None else largest, sum(b - a for a, b in segments)
+    # A shard more for each further segment is what starting anew may cost, so an even share of the others is enough.
+    low, high = max(1, -(-total // shards)), -(-total // max(1, shards - len(segments) + 1)) + largest
+    best: tuple[int, list[list[int]]] = (high, [])
     while low <= high:
         tries = sorted({low + (high - low) * i // PROBES for i in range(PROBES + 1)}) if high - low > PROBES else list(range(low, high + 1))
-        ends = sums.walk(tries, shards)
-        enough = [c for c in tries if ends[c][-1] >= sums.total]
-        if not enough:  # feasibility grows with the capacity and the largest try isn't feasible
+        done = sums.walk(tries, shards, segments)
+        if not done:  # feasibility grows with the capacity and the largest try isn't feasible
             break
-        best = (enough[0], ends[enough[0]])
-        less = [c for c in tries if c < enough[0]]
-        low, high = (less[-1] + 1 if less else enough[0]), enough[0] - 1
+        best = (min(done), done[min(done)])
+        less = [c for c in tries if c < best[0]]
+        low, high = (less[-1] + 1 if less else best[0]), best[0] - 1
     return best
 
 
-def even_ends(sums: PrefixSums, capacity: int, shards: int) -> list[int]:
-    """Where shards end that keep to the capacity and share what is left as evenly as whole groups allow.
+def minimax_ends(sums: PrefixSums, shards: int) -> tuple[int, list[int]]:
+    """The smallest capacity, and where the shards end.
 
-    The greedy walk fills each shard up to the capacity; where one large group decides that, it leaves the last shards
-    empty. Here a group over an even share has a shard of its own, the stretches between such groups are divided
-    evenly, and each shard ends at the sum nearest to that, within what the capacity allows it and what the shards
-    after it need.
+    While the capacity is that of one group over an even share, the group has a shard of its own and the search goes on
+    with the segments around it. Each segment then has the shards that the walk gave it, what is left over goes where
+    shards are fullest, and a last search in each segment makes its shards as small as they can be.
     """
-    need = [sums.total]  # need[r]: the least sum from which r shards reach the end
-    for _ in range(shards - 1):
-        x = need[-1] - capacity
-        if x > 0:
-            last, _, after = sums.ends({x})[x]
-            x = last if last == x else after
-        need.append(max(x, 0))
-    large = sums.larger_than(sums.total // shards)
-    ends, at = [], 0
-    for left in range(shards, 1, -1):
-        ahead = [(start, size) for start, size in large if start >= at]
-        share = (sums.total - at - sum(size for _, size in ahead)) / max(1, left - len(ahead))
-        stretch = (ahead[0][0] if ahead else sums.total) - at
-        parts = max(1, round(stretch / share)) if ahead and share else left
-        aim = at + (stretch // parts if stretch else ahead[0][1] if ahead else 0)
-        found = sums.ends({aim, at + capacity})
-        below, _, above = found[aim]
-        end = above if below <= at or above - aim < aim - below else below
-        at = max(min(end, found[at + capacity][0]), need[left - 1], at)
-        ends.append(at)
-    return [*ends, sums.total]
+    large = sums.larger_than(sums.total // shards)  # fewer than there are shards
+    capacity, ends = smallest_capacity(sums, shards)
+    least, alone, left, segments = capacity, [], shards, [(0, sums.total)]
+    while True:
+        size = sum(b - a for a, b in segments)
+        mine = next((g for g in large if g not in alone and g[1] == least and g[1] * left > size), None)
+        if mine is None:
+            break
+        alone.append(mine)
+        segments = [(x, y) for a, b in segments for x, y in ([(a, mine[0]), (mine[0] + mine[1], b)] if a <= mine[0] < b else [(a, b)]) if y > x]
+        left -= 1
+        if not segments:
+            break
+        largest = max((n for start, n in large if (start, n) not in alone), default=min(sums.largest, sums.total // shards))
+        least, ends = smallest_capacity(sums, left, segments, largest)
+    if not alone:
+        return capacity, ends[0]
+    cuts = [x for start, n in alone for x in (start, start + n)]
+    count = [len(e) for e in ends] if segments else []
+    while sum(count) < left and segments:
+        fullest = max(range(len(segments)), key=lambda i: (segments[i][1] - segments[i][0]) / count[i])
+        count[fullest] += 1
+    for segment, n in zip(segments, count, strict=True):
+        cuts += smallest_capacity(sums, n, [segment], min(least, segment[1] - segment[0]))[1][0]
+    return capacity, sorted({c for c in cuts if c})
 
 
 def cut_digests(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
@@ -143,8 +171,7 @@ def cut_digests(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
     sums = PrefixSums(groups)
     if not sums.total:
         return 0, []
-    capacity, _ = smallest_capacity(sums, shards)
-    ends = even_ends(sums, capacity, shards)
+    capacity, ends = minimax_ends(sums, shards)
     inner = sorted({e for e in ends if 0 < e < sums.total})
     found = sums.ends(set(inner))
     cuts = []

@@ -79,3 +79,38 @@ def test_a_large_group_leaves_no_shard_empty(spark):
         for d, n in groups:
             loads[sum(d > c for c in cuts)] += n
         assert capacity == max(loads) == 3000 and min(loads) >= 500
+
+
+def loads_of(groups, cuts, shards):
+    loads = [0] * shards
+    for d, n in groups:
+        loads[sum(d > c for c in cuts)] += n
+    return loads
+
+
+def test_cuts_are_the_greedy_walk(spark):
+    r = random.Random(12)
+    groups = [("%064x" % ((i << 240) + 1), r.randrange(1, 60)) for i in range(400)]
+    capacity, cuts = sharding.cut_digests(spark.createDataFrame(groups, "digest string, size bigint"), 8)
+    want, load = [0], 0
+    for _, n in groups:
+        if want[-1] + n > capacity:
+            want.append(0)
+        want[-1] += n
+    assert loads_of(groups, cuts, 8) == want
+
+
+def test_two_large_groups(spark):
+    groups = [("%064x" % ((i << 240) + 1), {40: 9000, 41: 5000}.get(i, 20)) for i in range(300)]
+    capacity, cuts = sharding.cut_digests(spark.createDataFrame(groups, "digest string, size bigint"), 8)
+    loads = loads_of(groups, cuts, 8)
+    assert capacity == max(loads) == 9000 and sorted(loads)[-2] == 5000 and min(loads) >= 700 and sorted(loads)[-3] <= 1060
+
+
+def test_large_groups_at_the_ends(spark):
+    groups = [("%064x" % ((i << 240) + 1), 8000 if i in (0, 299) else 20) for i in range(300)]
+    capacity, cuts = sharding.cut_digests(spark.createDataFrame(groups, "digest string, size bigint"), 8)
+    loads = loads_of(groups, cuts, 8)
+    assert capacity == 8000 and loads[0] == loads[7] == 8000 and max(loads[1:7]) - min(loads[1:7]) <= 120
+    one = [("%064x" % 1, 50)]
+    assert sharding.cut_digests(spark.createDataFrame(one, "digest string, size bigint"), 8) == (50, [])

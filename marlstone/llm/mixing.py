@@ -14,10 +14,13 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.functions.ranking import number_in_order
 from marlstone.llm import common
 
 #: Copies of a document at most.
@@ -33,17 +36,25 @@ def targets(sizes: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
 
     Sources in code point order, nulls last, have the weights in turn. They share ``share`` times all sizes by
     weight; a target stops at ``cap`` times its source's size and the others share what it leaves, again by weight.
-    That is the level t with sum of min(cap_i, t w_i) equal to the total; in the order of cap_i / w_i the capped
-    sources come first, so running sums give the level in one pass. The table has a row a source.
+    That is the level t with sum of min(cap_i, t w_i) equal to the total. It is found as the rule says: share by weight,
+    stop who is above, share again among the others; each round is an aggregate, and the level only grows. Sums are
+    of whole numbers, so reruns agree. The table has a row a source; no task sees more than its part of it.
     """
-    turn = Window.orderBy(F.col("source").isNull(), F.hex("source"))
+    n = sizes.count()
+    turned = number_in_order(sizes.withColumn("_null", F.col("source").isNull()).withColumn("_hex", F.hex("source")), ["_null", "_hex"], f"{common.shared_root(sizes.sparkSession)}/marlstone/turns-{uuid.uuid4().hex}", n, 0, "turn")
     ws = F.array(*[F.lit(float(w)) for w in weights])
-    s = sizes.withColumn("w", F.element_at(ws, F.pmod(F.row_number().over(turn) - 1, F.lit(len(weights))).cast("int") + 1)).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
-    ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.hex("source"))
-    before, after, whole = ratio.rowsBetween(Window.unboundedPreceding, -1), ratio.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    s = s.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    s = s.withColumn("t", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole))
-    return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("t") * F.col("w"), F.col("cap"))).alias("target"))
+    s = turned.withColumn("w", F.element_at(ws, F.pmod(F.col("turn"), F.lit(len(weights))).cast("int") + 1)).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
+    s = common.settle(s.select("source", "source_size", "w", "cap"), "mix-weights")
+    total, level, kept = None, 0.0, None
+    while True:
+        capped = F.col("cap") <= F.lit(level) * F.col("w")
+        r = s.agg(F.sum("source_size").alias("all"), F.sum(F.when(~capped, F.col("w"))).alias("w"), F.sum(F.when(capped, F.col("cap"))).alias("c"), F.sum(capped.cast("long")).alias("n")).first()
+        total = float(share) * (r["all"] or 0)
+        if r["n"] == kept or not r["w"]:
+            break
+        kept, level = r["n"], (total - (r["c"] or 0.0)) / r["w"]
+    target = F.least(F.col("cap"), F.lit(level) * F.col("w")) if r["w"] else F.col("cap")
+    return s.select("source", "source_size", target.alias("target"))
 
 
 def _rate(u: Column) -> Column:
@@ -78,7 +89,8 @@ def solve(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         inside = (F.col("slope") > 0) & (newton > F.col("low2")) & (newton < F.col("high2"))
         lam = F.when(close, F.col("lam")).when(inside, newton).otherwise(middle)
         stepped = stepped.select("source", "scale", "target", lam.alias("lam"), F.col("low2").alias("low"), F.col("high2").alias("high"), (close | narrow).alias("done"), "source_size")
-        state = common.settle(state.filter("done").unionByName(stepped), "mix-duals")
+        before, state = state, common.settle(state.filter("done").unionByName(stepped), "mix-duals")
+        common.drop(before)
         if state.filter("not done").isEmpty():
             break
     # Sums of doubles depend on the order of their parts in the last bits; rounded, reruns agree.
@@ -106,22 +118,23 @@ def round_cells(cells: DataFrame, duals: DataFrame) -> DataFrame:
         base = F.floor(count / F.col("n"))
         base = F.when(F.col("by").isNull(), F.col("base")).otherwise(F.least(base, F.lit(MOST)))
         moved = moved.withColumn("count", count).withColumn("base", base).select("source", "size", "n", "target", "base", (F.col("count") - F.col("base") * F.col("n")).cast("long").alias("extra"))
-        out = common.settle(moved, "mix-cells")
         if best.isEmpty():
             break
+        before, out = out, common.settle(moved, "mix-cells")
+        common.drop(before)
     return out.select("source", "size", "base", "extra")
 
 
 def mix(documents: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, source: what the mix takes of each document."""
-    docs = common.require(documents, "doc_id", "text", "source")
-    rows = common.settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", common.word_count().alias("size"), F.xxhash64(common.text_or_empty()).alias("mark")), "mix-rows")
+    """doc_id, size, source_size, target, taken, copies, source, mark (of the whole row): what the mix takes of each document."""
+    common.require(documents, "doc_id", "text", "source")
+    rows = common.settle(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", common.word_count().alias("size"), common.row_hash(documents).alias("mark")), "mix-rows")
     cells = common.settle(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     sized = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     wanted = common.settle(targets(sized, weights, share), "mix-targets")
     plan = common.settle(round_cells(cells, solve(cells, wanted)), "mix-plan")
     # Which documents of a cell get the extra copy: the first ones in an order by hash.
-    ranked = common.spread_rank(rows, ["source", "size"], ["doc_id", "mark"], "rank")
+    ranked = common.spread_rank(rows, ["source", "size"], ["doc_id", "mark"], "rank", parts=max(256, min(65536, rows.count() // 4096)))
     named = plan.withColumnRenamed("source", "s").withColumnRenamed("size", "z")
     whole = wanted.withColumnRenamed("source", "q")
     out = ranked.join(named, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).join(whole, F.col("source").eqNullSafe(F.col("q")))
@@ -132,8 +145,7 @@ def mix(documents: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
 def mixed_documents(documents: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
     """The documents as often as the mix takes them, with their columns."""
     plan = mix(documents, weights, share).filter("copies > 0")
-    name = lambda i, m, s: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m.cast("string"), F.coalesce(F.hex(s), F.lit("null")))
-    key = name(F.col("doc_id").cast("long"), F.xxhash64(common.text_or_empty()), F.col("source"))
-    # Rows that repeat id, text and source can't be told apart: one of them stands for all and has the sum of their copies.
-    taken = plan.groupBy(name(F.col("doc_id"), F.col("mark"), F.col("source")).alias("k")).agg(F.sum("copies").alias("n"))
-    return common.keep_keyed(documents, key, taken, copies=True)
+    name = lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m.cast("string"))
+    # Rows that are equal in all columns share a key: one of them stands for all and has the sum of their copies.
+    taken = plan.groupBy(name(F.col("doc_id"), F.col("mark")).alias("k")).agg(F.sum("copies").alias("n"))
+    return common.keep_keyed(documents, name(F.col("doc_id").cast("long"), common.row_hash(documents)), taken, copies=True)

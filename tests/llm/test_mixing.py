@@ -62,3 +62,17 @@ def test_documents_come_as_often_as_planned(odd):
     mixed = mixing.mixed_documents(odd)
     assert mixed.columns == odd.columns
     assert {(x["doc_id"], x["source"]): x["count"] for x in mixed.groupBy("doc_id", "source").count().collect()} == planned
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(4)
+    sizes = {f"https://host{i}.example/{r.random()}": r.choice([0, 1, 3, 50, 2000, 90_000]) for i in range(300)} | {None: 40, "": 7}
+    got = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint"), (3, 1, 2), 1.5).collect()}
+    want = water(sizes)
+    assert set(got) == set(want) and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in want)
+
+
+def test_rows_that_differ_in_other_columns_stay_apart(spark):
+    df = spark.createDataFrame([(1, "one two three", "a", n, {"k": n}) for n in (1, 2, 2, None)], "doc_id bigint, text string, source string, extra int, more map<string,int>")
+    mixed = sorted((x["extra"] is None, x["extra"], x["more"]["k"]) for x in mixing.mixed_documents(df, (1,), 2.0).collect())
+    assert mixed == [(False, 1, 1)] * 2 + [(False, 2, 2)] * 4 + [(True, None, None)] * 2

@@ -62,12 +62,23 @@ def long_space(text: str, block: int = SPACE_BLOCK) -> bool:
     return any(text[i : i + block].isspace() for i in range(0, len(text) - block + 1, block))
 
 
+#: What a file must say beside its merges, so that the published pattern and plain byte pairs are all there is to it.
+PLAIN = {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def is_plain(vocabulary: dict) -> bool:
+    """Whether the file's texts are cut by the byte-level pattern and merged by ranks alone."""
+    model = vocabulary["model"]
+    return all(vocabulary.get(k) == v for k, v in PLAIN.items()) and all((model.get(k) or None) == (v or None) for k, v in PLAIN_MODEL.items())
+
+
 class Encoder:
     """Ids of texts by the vocabulary file.
 
     The file's own library defines the ids. The same merges run several times faster in tiktoken, so texts go through
     that, unless they hold one of the file's special tokens or very long white space (the fast one panics on it), or the
-    file's merges aren't in the order of their ids.
+    file's merges aren't in the order of their ids, or it cuts or changes texts in another way than the byte-level pattern.
     """
 
     def __init__(self, path: str) -> None:
@@ -80,7 +91,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)
         self.special = [x["content"] for x in vocabulary.get("added_tokens", [])]
-        ranks = merge_ranks(vocabulary)
+        ranks = merge_ranks(vocabulary) if is_plain(vocabulary) else None
         self.fast = ranks and tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:

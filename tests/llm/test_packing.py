@@ -85,3 +85,19 @@ def test_plan_is_valid_and_tight(seed):
 def test_cut_and_empty(nothing):
     assert packing.cut(1, 4) == [(0, 1)] and packing.cut(4, 4) == [(0, 4)] and packing.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
     assert packing.pack(nothing).count() == 0
+
+
+def test_other_cutting_rules_go_through_the_files_own_library(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from marlstone.llm import packing as p
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)
+    assert p.is_plain(vocabulary) and p.Encoder(public_tokenizers.path("byte_bpe_50k.json")).fast
+    for change in ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "NFC"}}, {"model": vocabulary["model"] | {"ignore_merges": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(vocabulary | change))
+        e = p.Encoder(str(tmp_path / "t.json"))
+        assert not e.fast and e.ids("Hello there") == np.array(e.tokenizer.encode("Hello there", add_special_tokens=False).ids, "<u4").tobytes()

@@ -1,20 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A numpy logistic classifier over words and word beginnings is trained from confirmed toxic texts and unlabelled text:
+A numpy logistic classifier over words, word beginnings and beginnings that several words share is trained from confirmed toxic texts and unlabelled text:
 with the class prior p, the risk is  p E_P[l(z)] + max(0, E_U[l(-z)] - p E_P[l(-z)]), and where the second term would
 fall below zero the step goes the other way, as the non-negative estimator has it. The prior is the toxic share of the
 labelled rows. Which features take part is decided on counts in both samples, corrected by the prior in the same way.
 
 Both samples are bounded (parameters ``positives`` and ``unlabelled``) and taken by the hash of the id among the rows
-to learn from, so fitting costs the same at any size; scoring reads every whole text once. Near copies within a sample
-count once, since the chance words that copies of a toxic text share would pass for evidence.
+to learn from, so fitting costs the same at any size; scoring reads every whole text once. Of n near copies within a
+sample each weighs 1/n, since the chance words that copies of a toxic text share would pass for evidence.
 
 Defined results: null and empty texts score the model's bias alone. Without toxic labels to learn from every score is
-zero. A document whose labels disagree counts as toxic. Repeated rows are scored each. Extra columns are ignored.
+9e-14, the logistic of the least bias. A document whose labels disagree counts as toxic. Repeated rows are scored each. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ THRESHOLD = 0.7
 SHINGLE = 5
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = (3, 4, 5, 6)
+#: So many distinct words with one beginning are a feature of their own.
+REPEATS = (2, 3)
 #: Distinct words whose features a scoring task remembers before it starts anew.
 REMEMBERED = 1_000_000
 
@@ -52,6 +55,12 @@ def features(word: str) -> list[str]:
     return [f"={word}", *[f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n]]
 
 
+def text_features(found: set[str]) -> set[str]:
+    """The features of a text's distinct words, and for each beginning whether two of them share it, or three (``2^``, ``3^``)."""
+    shared = Counter(f for w in found for f in features(w)[1:])
+    return {f for w in found for f in features(w)} | {f"{n}{f}" for f, c in shared.items() for n in REPEATS if c >= n}
+
+
 def near_key(text: str) -> int:
     """The smallest hash of the text's five-word shingles: near copies mostly share it, other texts don't."""
     ws = [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text.lower())]
@@ -67,39 +76,62 @@ class Model:
 
     def __init__(self, names: list[str], weights: np.ndarray, bias: float) -> None:
         self.at, self.weights, self.bias = {n: i for i, n in enumerate(names)}, weights, bias
+        #: Beginnings whose repeats are features, with (repeats, feature).
+        self.repeats: dict[str, list[tuple[int, int]]] = {}
+        for n, i in self.at.items():
+            if n[0].isdigit():
+                self.repeats.setdefault(n[1:], []).append((int(n[0]), i))
         self.seen: set[str] = set()
         self.hits: dict[str, list[int]] = {}
+        self.begins: dict[str, list[str]] = {}
 
     def present(self, text: str) -> list[int]:
         found = words(text)
         if len(self.seen) > REMEMBERED:
-            self.seen, self.hits = set(), {}
+            self.seen, self.hits, self.begins = set(), {}, {}
         new = found - self.seen
         for w in new:
-            if hit := [self.at[f] for f in features(w) if f in self.at]:
+            own = features(w)
+            if hit := [self.at[f] for f in own if f in self.at]:
                 self.hits[w] = hit
+            if begin := [f for f in own if f in self.repeats]:
+                self.begins[w] = begin
         self.seen |= new
-        return sorted({i for w in found & self.hits.keys() for i in self.hits[w]})
+        out = {i for w in found & self.hits.keys() for i in self.hits[w]}
+        shared = Counter(f for w in found & self.begins.keys() for f in self.begins[w])
+        return sorted(out | {i for f, c in shared.items() for n, i in self.repeats[f] if c >= n})
 
     def score(self, text: str) -> float:
         z = self.bias + float(self.weights[self.present(text)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def risk(w: np.ndarray, x_pos: np.ndarray, x_unl: np.ndarray, prior: float, a_pos: np.ndarray, a_unl: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """The risk's two parts for weights and bias ``w``, and the gradient that a step follows (without decay).
+
+    a_*: what each document weighs, 1 in sum. Where the second part is negative, the step undoes it alone.
+    """
+    n = x_pos.shape[1]
+    zp, zu = x_pos @ w[:n].astype(np.float32) + w[n], x_unl @ w[:n].astype(np.float32) + w[n]
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    positive = prior * float(a_pos @ np.logaddexp(0, -zp))
+    negative = float(a_unl @ np.logaddexp(0, zu) - prior * (a_pos @ np.logaddexp(0, zp)))
+    part = lambda x, a, d: np.append(x.T @ (a * d).astype(np.float32), (a * d).sum())
+    g_negative = part(x_unl, a_unl, su) - prior * part(x_pos, a_pos, sp)
+    return positive, negative, prior * part(x_pos, a_pos, sp - 1) + g_negative if negative >= 0 else -g_negative
+
+
+def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-5, weigh_pos: np.ndarray | None = None, weigh_unl: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Adam on the non-negative risk with the logistic loss; x_*: documents by features, 0 or 1."""
     prior = min(max(prior, 1e-4), 0.9)
     n = x_pos.shape[1]
-    w, b = np.zeros(n + 1), float(np.log(prior / (1 - prior)))
-    w[n] = b
+    share = lambda x, given: np.full(len(x), 1 / len(x)) if given is None else given / given.sum()
+    a_pos, a_unl = share(x_pos, weigh_pos), share(x_unl, weigh_unl)
+    w = np.zeros(n + 1)
+    w[n] = np.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
-        zp, zu = x_pos @ w[:n].astype(np.float32) + w[n], x_unl @ w[:n].astype(np.float32) + w[n]
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        part = lambda x, d: np.append(x.T @ d.astype(np.float32), d.sum()) / len(x)
-        g_negative = part(x_unl, su) - prior * part(x_pos, sp)
-        g = prior * part(x_pos, sp - 1) + g_negative if negative >= 0 else -g_negative
+        g = risk(w, x_pos, x_unl, prior, a_pos, a_unl)[2]
         g[:n] += decay * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -107,7 +139,7 @@ def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 600, ra
     return w[:n], float(w[n])
 
 
-def choose_features(counts: DataFrame, positives: int, unlabelled: int, prior: float, most: int) -> list[str]:
+def choose_features(counts: DataFrame, positives: float, unlabelled: float, prior: float, most: int) -> list[str]:
     """Features that toxic texts have more often than clean ones, beyond chance.
 
     The clean rate is (u - p a) / (1 - p) for rates a in toxic and u in unlabelled texts. A feature takes part if the
@@ -127,17 +159,16 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
     docs = common.require(documents, "doc_id", "text").filter(~held_out())
     known = common.require(labels, "doc_id", "toxic").filter(~held_out()).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    by_hash = [F.xxhash64(F.col("doc_id").cast("long")), "doc_id"]
-    toxic = known.filter("toxic = 1").orderBy(*by_hash).limit(positives).select(F.col("doc_id").alias("id"), F.lit(True).alias("pos"))
-    any_text = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(*by_hash).limit(unlabelled).select(F.col("doc_id").alias("id"), F.lit(False).alias("pos"))
+    by_id = [F.col("id")]
+    toxic, any_text = known.filter("toxic = 1").select(F.col("doc_id").alias("id")), docs.select(F.col("doc_id").alias("id")).filter("id is not null").distinct()
     # Ids alone are ordered and broadcast: at most positives + unlabelled of them.
-    chosen = common.settle(toxic.union(any_text), "toxic-ids")
+    chosen = common.settle(common.sample_by_hash(toxic, positives, by_id, toxic.count()).withColumn("pos", F.lit(True)).union(common.sample_by_hash(any_text, unlabelled, by_id, any_text.count()).withColumn("pos", F.lit(False))), "toxic-ids")
     keyed = F.pandas_udf(lambda texts: pd.Series([near_key(t or "") for t in texts], dtype="int64"), "long")
     found = common.settle(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("pos", "text", keyed("text").alias("key")).repartition(16), "toxic-found")
-    # Near copies count once: a passage that copies share is no evidence for the words in it.
-    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))
-    sample = common.settle(found.groupBy("pos", "key").agg(one.alias("o")).select("pos", "o.text"), "toxic-sample")
-    size = {r["pos"]: r["count"] for r in sample.groupBy("pos").count().collect()}
+    # Of n near copies each weighs 1/n: a passage that copies share is no evidence for the words in it.
+    copies = found.groupBy(F.col("pos").alias("p"), F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    sample = common.settle(found.join(F.broadcast(copies), (F.col("pos") == F.col("p")) & (F.col("key") == F.col("k"))).select("pos", "text", (1 / F.col("n")).alias("weight")), "toxic-sample")
+    size = {r["pos"]: r["w"] for r in sample.groupBy("pos").agg(F.round(F.sum("weight"), 6).alias("w")).collect()}
     n_pos, n_unl = size.get(True, 0), size.get(False, 0)
     if not n_pos or not n_unl or not prior:
         return Model([], np.zeros(0), -30.0)
@@ -145,24 +176,33 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pos, unl = Counter(), Counter()
         for rows in batches:
-            for p, text in zip(rows["pos"], rows["text"], strict=True):
-                (pos if p else unl).update({f for w in words(text or "") for f in features(w)})
-        yield pd.DataFrame([(f, n, unl[f]) for f, n in pos.items()] + [(f, 0, n) for f, n in unl.items() if f not in pos], columns=["feature", "n_pos", "n_unl"])
-
-    counts = sample.mapInPandas(count, "feature string, n_pos long, n_unl long").groupBy("feature").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_unl").alias("n_unl"))
+            for p, text, weight in zip(rows["pos"], rows["text"], rows["weight"], strict=True):
+                own = pos if p else unl
+                for f in text_features(words(text or "")):
+                    own[f] += weight
+        yield pd.DataFrame([(f, n, unl[f]) for f, n in pos.items()] + [(f, 0.0, n) for f, n in unl.items() if f not in pos], columns=["feature", "n_pos", "n_unl"])
+
+    # Rounded, as sums of parts depend on their order in the last bits.
+    total = lambda c: F.round(F.sum(c), 6).alias(c)
+    counts = sample.mapInPandas(count, "feature string, n_pos double, n_unl double").groupBy("feature").agg(total("n_pos"), total("n_unl"))
     names = choose_features(counts, n_pos, n_unl, prior, most)
     blank = Model(names, np.zeros(len(names)), 0.0)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"pos": rows["pos"], "at": [blank.present(t or "") for t in rows["text"]]})
-
-    encoded = sample.mapInPandas(encode, "pos boolean, at array<int>").orderBy("pos", F.xxhash64("at"), F.size("at")).toPandas()
-    x = np.zeros((len(encoded), len(names)), np.float32)
-    for i, at in enumerate(encoded["at"]):
-        x[i, np.asarray(at, int)] = 1
-    pos = encoded["pos"].to_numpy(bool)
-    weights, bias = fit(x[pos], x[~pos], prior)
+            yield pd.DataFrame({"pos": rows["pos"], "at": [blank.present(t or "") for t in rows["text"]], "weight": rows["weight"]})
+
+    # The rows of the sample come in any order; equal ones are one row with the sum of their weights.
+    alike: dict[tuple[bool, tuple[int, ...]], list[float]] = {}
+    for p, at, weight in sample.mapInPandas(encode, "pos boolean, at array<int>, weight double").toPandas().itertuples(index=False):
+        alike.setdefault((bool(p), tuple(int(i) for i in at)), []).append(weight)
+    x, weights_of = np.zeros((len(alike), len(names)), np.float32), np.zeros(len(alike))
+    order = sorted(alike)
+    for i, k in enumerate(order):
+        x[i, np.array(k[1], int)] = 1
+        weights_of[i] = math.fsum(alike[k])
+    pos = np.array([k[0] for k in order], bool)
+    weights, bias = fit(x[pos], x[~pos], prior, weigh_pos=weights_of[pos], weigh_unl=weights_of[~pos])
     return Model(names, weights, bias)
 
 

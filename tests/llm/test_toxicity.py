@@ -75,3 +75,54 @@ def test_near_key():
     assert toxicity.near_key("one two") == toxicity.near_key("One, two") != toxicity.near_key("two one")
     long = prose(400, 3)
     assert toxicity.near_key(long) == toxicity.near_key(long.replace(" ", " - ")) != toxicity.near_key(prose(400, 4))
+
+
+def test_risk_and_gradient_as_plain_numbers():
+    rng = np.random.default_rng(3)
+    x_pos, x_unl = (rng.random((7, 3)) < 0.5).astype(np.float32), (rng.random((11, 3)) < 0.5).astype(np.float32)
+    a_pos, a_unl = (w / w.sum() for w in (rng.random(7), rng.random(11)))
+
+    def slow(w, prior, x_unl):
+        loss = lambda z: np.log(1 + np.exp(-z))
+        z = lambda row: sum(float(v) * c for v, c in zip(row, w[:3], strict=True)) + w[3]
+        positive = prior * sum(a * loss(z(r)) for a, r in zip(a_pos, x_pos, strict=True))
+        negative = sum(a * loss(-z(r)) for a, r in zip(a_unl, x_unl, strict=True)) - prior * sum(a * loss(-z(r)) for a, r in zip(a_pos, x_pos, strict=True))
+        return positive, negative
+
+    for w, prior, unl, sign in [(np.array([0.3, -0.2, 0.5, -1.0]), 0.2, x_unl, 1), (np.array([3.0, 2.0, 4.0, -1.0]), 0.9, np.zeros_like(x_unl), -1)]:
+        positive, negative, gradient = toxicity.risk(w, x_pos, unl, prior, a_pos, a_unl)
+        assert np.allclose((positive, negative), slow(w, prior, unl), atol=1e-6) and np.sign(negative) == sign
+        whole = (lambda v: sum(slow(v, prior, unl))) if negative >= 0 else (lambda v: -slow(v, prior, unl)[1])  # noqa: B023
+        steps = np.eye(4) * 1e-5
+        assert np.allclose(gradient, [(whole(w + s) - whole(w - s)) / 2e-5 for s in steps], atol=1e-4)
+
+
+def test_feature_choice_as_plain_numbers(spark):
+    import math
+
+    r = random.Random(5)
+    rows = [(f"f{i}", float(r.randrange(0, 40)), float(r.randrange(0, 60))) for i in range(200)]
+    pos, unl, prior = 40.0, 100.0, 0.2
+    kept = []
+    for f, n, m in rows:
+        a, u, both = n / pos, m / unl, (n + m) / (pos + unl)
+        g = 2 * sum(x * math.log(x / (of * q)) for x, of, q in ((n, pos, both), (pos - n, pos, 1 - both), (m, unl, both), (unl - m, unl, 1 - both)) if x > 0)
+        if a > u and n >= 2 and g >= toxicity.EVIDENCE:
+            kept.append((-a * math.log((a + 1 / pos) / (max(0.0, (u - prior * a) / (1 - prior)) + 1 / unl)), f))
+    got = toxicity.choose_features(spark.createDataFrame(rows, "feature string, n_pos double, n_unl double"), pos, unl, prior, 12)
+    assert got == sorted(f for _, f in sorted(kept)[:12]) and len(got) == 12
+
+
+def test_reruns_agree(spark):
+    docs, labels, _ = corpus(spark, 300)
+    a, b = (sorted((r["doc_id"], r["score"]) for r in toxicity.score_documents(d, labels).collect()) for d in (docs, docs.repartition(7)))
+    assert a == b
+
+
+def test_scoring_sees_the_features_of_training():
+    texts = [prose(n, n) + extra for n in (0, 1, 5, 60) for extra in ("", " winterly winters wintering", " Birds birding a1b2 é")]
+    names = sorted({f for t in texts for f in toxicity.text_features(toxicity.words(t))})
+    model = toxicity.Model(names, np.zeros(len(names)), 0.0)
+    for t in [*texts, *texts]:
+        assert [names[i] for i in model.present(t)] == sorted(toxicity.text_features(toxicity.words(t)))
+    assert "3^wint" in names and "2^bird" in names

@@ -30,8 +30,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints that the tree of shards is fitted on, at most; members that a shard
 #: should have; shards at least (a small input is still spread).
 SAMPLE, SHARD_ROWS, LEAST_SHARDS = 65536, 65536, 64
-#: Members of a leaf that are compared whole.
-LEAF = 96
+#: Members of a leaf that are compared whole; fingerprints of a shard that a tree of its own is fitted on, for each leaf.
+LEAF, LEAF_SAMPLE = 96, 64
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 #: The general rule for near copies, apart from the contract of ``near_dedup``: words of a shingle, and the least similarity.
@@ -80,10 +80,15 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Vantage points in heap order (children of i: 2i + 1, 2i + 2). Those within ``radii[i]`` go to the first child."""
+    """Vantage points in heap order (children of i: 2i + 1, 2i + 2). Those within ``radii[i]`` go to the first child.
+
+    A leaf may have grown a tree of its own (``grown``); shards are then numbered by its leaves, after those before.
+    """
 
     def __init__(self, points: np.ndarray, radii: np.ndarray, depth: int) -> None:
         self.points, self.radii, self.depth = points, radii, depth
+        self.grown: dict[int, Tree] = {}
+        self._number()
 
     @classmethod
     def fit(cls, sample: np.ndarray, depth: int) -> Tree:
@@ -100,6 +105,22 @@ class Tree:
             parts = halves
         return cls(points, radii, depth)
 
+    def _number(self) -> None:
+        sizes = np.ones(1 << self.depth, np.int64)
+        for leaf, tree in self.grown.items():
+            sizes[leaf] = tree.shards
+        self.first, self.shards = np.cumsum(sizes) - sizes, int(sizes.sum())
+
+    def grow(self, trees: dict[int, Tree]) -> None:
+        """Trees for shards, by their present numbers; all numbers change."""
+        for leaf in np.unique(np.searchsorted(self.first, sorted(trees), side="right") - 1).tolist():
+            inside = {s - int(self.first[leaf]): t for s, t in trees.items() if self.first[leaf] <= s < self.first[leaf] + (self.grown[leaf].shards if leaf in self.grown else 1)}
+            if leaf in self.grown:
+                self.grown[leaf].grow(inside)
+            else:
+                self.grown[leaf] = inside[0]
+        self._number()
+
     def visits(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index, shard and whether it is the home shard, for each shard that a ball around a fingerprint reaches."""
         at, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
@@ -108,7 +129,17 @@ class Tree:
             r = self.radii[node]
             near, far = d - radius <= r, d + radius > r
             at, node, home = np.concatenate([at[near], at[far]]), np.concatenate([2 * node[near] + 1, 2 * node[far] + 2]), np.concatenate([home[near] & (d <= r)[near], home[far] & (d > r)[far]])
-        return at, node - ((1 << self.depth) - 1), home
+        leaf = node - ((1 << self.depth) - 1)
+        if not self.grown:
+            return at, leaf, home
+        whole = ~np.isin(leaf, list(self.grown))
+        parts = [(at[whole], self.first[leaf[whole]], home[whole])]
+        for one, tree in self.grown.items():
+            mine = np.flatnonzero(leaf == one)
+            if len(mine):
+                inner, shard, inside = tree.visits(fps[at[mine]], radius)
+                parts.append((at[mine][inner], self.first[one] + shard, home[mine][inner] & inside))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def choose(part: np.ndarray, candidates: int = 8) -> tuple[np.uint64, int]:
@@ -176,13 +207,55 @@ def _shard_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit_tree(distinct: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> Tree:
-    """A tree over a sample of SAMPLE fingerprints at most, taken by the hash of the fingerprint: reruns agree."""
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    """A tree over a sample of SAMPLE fingerprints at most, taken by the hash of the fingerprint: reruns agree.
+
+    Shards that hold more than twice what they should grow trees of their own, from samples of their own members that are
+    fitted where these lie, until none does or can be divided; the driver has the vantage points alone, two for each
+    ``shard_rows`` fingerprints or so.
+    """
+    sample = common.sample_by_hash(distinct.select("fp"), SAMPLE, [F.col("fp")], rows).collect()
     fps = np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
     depth, wanted = 0, max(LEAST_SHARDS, rows // shard_rows)
     while (1 << depth) < wanted and (len(fps) >> (depth + 1)) >= 16:
         depth += 1
-    return Tree.fit(fps, depth)
+    tree, stuck = Tree.fit(fps, depth), set()
+    while True:
+        sizes = {r["shard"]: r["n"] for r in _homes(distinct, tree).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * shard_rows).collect()}
+        wide = {s: n for s, n in sizes.items() if n not in stuck}
+        if not wide:
+            return tree
+        depths = {s: min(10, max(1, int(np.ceil(np.log2(n / shard_rows))))) for s, n in wide.items()}
+
+        some = _homes(distinct, tree, {s: min(1.0, LEAF_SAMPLE * (1 << depths[s]) / n) for s, n in wide.items()})
+        made = some.groupBy("shard").applyInPandas(_fitted(depths), "shard long, points binary, radii binary").collect()
+        tree.grow({r["shard"]: Tree(np.frombuffer(r["points"], np.uint64), np.frombuffer(r["radii"], np.int64), depths[r["shard"]]) for r in made})
+        stuck |= set(wide.values())  # a shard that comes out as large as it went in can't be divided
+
+
+def _fitted(depths: dict[int, int]):
+    def run(shard: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        t = Tree.fit(np.sort(part["fp"].to_numpy(np.int64)).view(np.uint64), depths[shard[0]])
+        return pd.DataFrame({"shard": [shard[0]], "points": [t.points.tobytes()], "radii": [t.radii.tobytes()]})
+
+    return run
+
+
+def _homes(distinct: DataFrame, tree: Tree, share: dict[int, float] | None = None) -> DataFrame:
+    """(shard, fp): each fingerprint with its home shard; with ``share`` so large a part of the shards that it names alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            fps = rows["fp"].to_numpy(np.int64)
+            at, shard, home = tree.visits(fps.view(np.uint64), 0)
+            shard, own = shard[home], fps[at[home]]
+            if share is not None:
+                with np.errstate(over="ignore"):
+                    mixed = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                kept = mixed < np.array([share.get(x, 0.0) for x in shard.tolist()]) * 2.0**32
+                shard, own = shard[kept], own[kept]
+            yield pd.DataFrame({"shard": shard, "fp": own})
+
+    return distinct.select("fp").mapInPandas(run, "shard long, fp long")
 
 
 def links(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -219,6 +292,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         small = small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = common.settle(small, "small-star")
         same = now.count() == after.count() and now.exceptAll(after).isEmpty()
+        common.drop(now)
+        common.drop(large)
         now = after
         if same:
             return now.select(F.col("a").alias("node"), F.col("b").alias("least"))

@@ -156,3 +156,41 @@ def test_the_stage_keeps_to_the_general_rule(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = corpus_pipeline.near_dedup_stage(spark, docs, "/root/testdata/sf0.001")
     assert sorted(x["doc_id"] for x in kept.collect()) == slow_kept([(x["doc_id"], x["text"]) for x in docs.collect()])
+
+
+def test_trees_grow_on_large_shards(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 2**64, 6, dtype=np.uint64)
+    fps = np.unique(np.concatenate([np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (300, 3), dtype=np.uint64), axis=1) ^ c for c in centres]))
+    tree = simhash.Tree.fit(fps[:40], 1)
+    for _ in range(3):
+        at, shard, home = tree.visits(fps, 2)
+        sizes = np.bincount(shard[home], minlength=tree.shards)
+        tree.grow({int(s): simhash.Tree.fit(fps[at[home]][shard[home] == s], 2) for s in np.flatnonzero(sizes > 120)})
+    at, shard, home = tree.visits(fps, 2)
+    assert home.sum() == len(fps) and sorted(at[home]) == list(range(len(fps))) and shard.max() < tree.shards
+    assert np.bincount(shard[home]).max() < np.bincount(simhash.Tree.fit(fps[:40], 1).visits(fps, 0)[1]).max()
+    own = np.zeros(len(fps), int)
+    own[at[home]] = shard[home]
+    visits = set(zip(at.tolist(), shard.tolist(), strict=True))
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
+    assert all((i, own[j]) in visits for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_links_of_grown_trees(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 64)
+    monkeypatch.setattr(simhash, "LEAST_SHARDS", 2)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) for _ in range(4)]]))
+    table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp bigint")
+    tree = simhash.fit_tree(table, len(fps), 60)
+    assert tree.grown and tree.shards > 8
+    got = simhash.components(simhash.links(table, 60)).collect()
+    where = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+    want = slow_components([(i, int(f)) for i, f in enumerate(fps)])
+    root = list(range(len(fps)))
+    for r in got:
+        root[where[r["node"]]] = where[r["least"]]
+    groups = lambda x: {frozenset(i for i, v in enumerate(x) if v == k) for k in set(x)}
+    assert groups(root) == groups(want)

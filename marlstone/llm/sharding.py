@@ -13,19 +13,23 @@ that get no group stay empty. An empty table gives an empty result. Extra column
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_right, insort
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.functions.ranking import number_in_order
 from marlstone.llm import common
+from marlstone.sources import files
 
 #: Buckets of the first 16 bits of a digest; the driver holds a sum for each (65,536 numbers at most).
 BUCKET_BITS = 16
 #: Each round of the search divides the capacities that are left by this, as a round is a pass over the table and not one
 #: step: halving tries one capacity a pass, this many share it. As many rows at most are broadcast and come back.
 PROBES = 511
+#: Rows that one task numbers.
+RANGE = 16_384
 
 
 def size_of(column: str = "text") -> Column:
@@ -52,15 +56,19 @@ class PrefixSums:
             self.before.append(self.total)
             self.total += r["s"]
         self.largest = max((r["m"] for r in rows), default=0)
-        self.known: dict[int, tuple[int, int, str | None]] = {}
+        #: Stretches that are known: where they start, in order, and (start, end, digest of the group that ends at the start).
+        self.starts: list[int] = []
+        self.known: dict[int, tuple[int, int, str]] = {}
 
     def ends(self, limits: set[int]) -> dict[int, tuple[int, str | None, int]]:
         """For each limit the largest prefix sum that is no larger, the digest of the group where it ends, and the next sum."""
         out = {x: (self.total, None, self.total) for x in limits if x >= self.total}
         asked = []
         for x in limits - out.keys():
-            if hit := next((v for v in self.known.values() if v[0] <= x < v[1]), None):
-                out[x] = (hit[0], hit[2], hit[1])
+            at = bisect_right(self.starts, x) - 1
+            if at >= 0 and x < self.known[self.starts[at]][1]:
+                start, end, digest = self.known[self.starts[at]]
+                out[x] = (start, digest, end)
                 continue
             i = bisect_right(self.before, x) - 1
             asked.append((x, self.buckets[i], x - self.before[i], self.before[i]))
@@ -74,7 +82,8 @@ class PrefixSums:
             for x, _, _, before in asked:
                 last, after = got[x]["last"], got[x]["next"]
                 out[x] = (before + (last["up_to"] if last else 0), last["digest"] if last else None, before + after)
-                if last:
+                if last and out[x][0] not in self.known:
+                    insort(self.starts, out[x][0])
                     self.known[out[x][0]] = (out[x][0], before + after, last["digest"])
         return out
 
@@ -187,18 +196,22 @@ def cut_digests(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
 def shard_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), capacity.
 
-    ``slot`` counts a shard's rows from 0 without gaps, in an order that depends on the rows' values alone.
+    ``slot`` counts a shard's rows from 0 without gaps, in the order of digest and id. Shards are stretches of that order,
+    so the rows are numbered once over ranges of it, a group of any size over as many as it needs.
     """
-    docs = common.require(documents, "doc_id", "text")
+    docs, spark = common.require(documents, "doc_id", "text"), documents.sparkSession
     text = common.text_or_empty()
     rows = common.settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of().alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest")), "shard-rows")
     capacity, cuts = cut_digests(rows.groupBy("digest").agg(F.sum("size").alias("size")), shards)
     shard = F.lit(0)
     for cut in cuts:
         shard = shard + (F.col("digest") > F.lit(cut)).cast("int")
-    placed = rows.withColumn("shard", shard)
-    slotted = common.spread_rank(placed, ["shard"], ["doc_id", "digest"], "slot", parts=max(256, min(65536, rows.count() // 256)))
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity"))
+    counts = {r["shard"]: r["count"] for r in rows.groupBy(shard.alias("shard")).count().collect()}
+    first, before = F.lit(0), 0
+    for k in sorted(counts):
+        first, before = F.when(F.col("shard") == k, F.lit(before)).otherwise(first), before + counts[k]
+    placed = number_in_order(rows, ["digest", "doc_id"], files.scratch(spark, "shard-order"), sum(counts.values()), 0, "place", RANGE).withColumn("shard", shard)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity"))
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = 8) -> None:

@@ -41,7 +41,7 @@ def percentile(values: list[float], p: int) -> float:
     return sorted(values)[(len(values) - 1) * p // 100] if values else 0.0
 
 
-def percentiles(rows: DataFrame, value_col: str, ps: list[int], ranges: int = 256) -> DataFrame:
+def percentiles(rows: DataFrame, value_col: str, ps: list[int], ranges: int = 32) -> DataFrame:
     """One row with a column p<n> each: the same rule over a column of any length; nulls don't count.
 
     Values are dealt over ranges by approximate quantiles and counted there; running sums over the ranges tell in which

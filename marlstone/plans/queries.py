@@ -75,6 +75,41 @@ def kv_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.compacted(event_log(spark, sf_dir)).select("key", "value", "seq")
 
 
+#: FNV-1a in DuckDB: a fold over the bytes in HUGEINT. Keys here are ASCII.
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({key}, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (xor((a % 18446744073709551616)::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)"
+#: The same from the state that the Bloom filters' salt leads to.
+_SALTED = _FNV.replace("14695981039346656037", str(bloom.SALTED))
+def _ring_sql(name: str, r: ring.Ring) -> str:
+    return f"{name} AS (SELECT * FROM (VALUES {','.join(f'({h}::UBIGINT, {o!r})' for h, o in r.points)}) AS t(p, o))"
+
+
+def _routed_sql(name: str, table: str) -> str:
+    return f"{name} AS (SELECT key, coalesce(o, (SELECT arg_min(o, p) FROM {table})) AS owner FROM hashed ASOF LEFT JOIN {table} ON h <= p)"
+
+
+def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items as operations on their orders: as many keys as there are orders, returned items as deletes."""
+    return _table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("order:"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("key"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("value"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).cast("bigint").alias("seq"), F.when(F.col("l_returnflag") == "R", 2).otherwise(1).cast("tinyint").alias("kind"))
+
+
+_LINES = "lines AS (SELECT 'order:' || lpad(l_orderkey::VARCHAR, 12, '0') AS key, l_partkey || '/' || l_suppkey AS value, ((l_orderkey::BIGINT * 8 + l_linenumber) * 10000000 + l_partkey) * 10000 + l_suppkey AS seq, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS kind FROM lineitem), newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM lines) WHERE r = 1)"
+
+
+@_query(f"WITH {_LINES} SELECT key, value, seq FROM newest WHERE kind = 1")
+def kv_scan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan over a log with very many keys."""
+    return kv.scan(line_log(spark, sf_dir))
+
+
+@_query(f"WITH {_LINES}, hashed AS (SELECT key, " + _FNV.format(key="key") + f"::UBIGINT AS h FROM newest), {_ring_sql('ring', ring.node_ring(NODES))}, {_routed_sql('r', 'ring')} SELECT owner AS node, count(*) AS keys, sum((kind = 1)::INTEGER)::BIGINT AS live_keys FROM newest JOIN r USING (key) GROUP BY 1")
+def ring_route_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of very many keys, and of those that live, each node has."""
+    routed = ring.route(kv.merge_latest(line_log(spark, sf_dir)), F.col("key"), FULL, "node")
+    return routed.groupBy("node").agg(F.count(F.lit(1)).alias("keys"), F.sum((F.col("kind") == 1).cast("long")).alias("live_keys"))
+
+
 @_query(f"WITH {LATEST} SELECT count(*) AS entries, sum(strlen(key) + strlen(value) + 64)::BIGINT AS approx_bytes FROM latest")
 def kv_memtable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.approximate_bytes(event_log(spark, sf_dir))
@@ -178,10 +213,6 @@ def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy(vector.invalid_reason("id", "vector", 64, "cosine").alias("why")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-#: FNV-1a in DuckDB: a fold over the bytes in HUGEINT. Keys here are ASCII.
-_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({key}, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (xor((a % 18446744073709551616)::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)"
-#: The same from the state that the Bloom filters' salt leads to.
-_SALTED = _FNV.replace("14695981039346656037", str(bloom.SALTED))
 _KEYS = "keys AS (SELECT DISTINCT 'user:' || user_id AS key FROM events), hashed AS (SELECT key, " + _FNV.format(key="key") + "::UBIGINT AS h FROM keys)"
 
 
@@ -189,14 +220,6 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).select("key").distinct()
 
 
-def _ring_sql(name: str, r: ring.Ring) -> str:
-    return f"{name} AS (SELECT * FROM (VALUES {','.join(f'({h}::UBIGINT, {o!r})' for h, o in r.points)}) AS t(p, o))"
-
-
-def _routed_sql(name: str, table: str) -> str:
-    return f"{name} AS (SELECT key, coalesce(o, (SELECT arg_min(o, p) FROM {table})) AS owner FROM hashed ASOF LEFT JOIN {table} ON h <= p)"
-
-
 @_query(f"WITH {_KEYS} SELECT key, lower(lpad(to_hex(h), 16, '0')) AS fnv FROM hashed")
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(spark, sf_dir).select("key", F.lower(F.lpad(F.hex(fnv1a64_column(F.col("key"))), 16, "0")).alias("fnv"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,11 +89,9 @@ def solve(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         inside = (F.col("slope") > 0) & (newton > F.col("low2")) & (newton < F.col("high2"))
         lam = F.when(close, F.col("lam")).when(inside, newton).otherwise(middle)
         stepped = stepped.select("source", "scale", "target", lam.alias("lam"), F.col("low2").alias("low"), F.col("high2").alias("high"), (close | narrow).alias("done"), "source_size")
-        seen = Observation()
-        after = state.filter("done").unionByName(stepped).observe(seen, F.sum((~F.col("done")).cast("long")).alias("left"))
-        before, state = state, common.settle(after, "mix-duals")
+        before, state = state, common.settle(state.filter("done").unionByName(stepped), "mix-duals")
         common.drop(before)
-        if not seen.get["left"]:
+        if state.filter("not done").isEmpty():
             break
     # Sums of doubles depend on the order of their parts in the last bits; rounded, reruns agree.
     return state.select("source", "scale", F.round("lam", 10).alias("lam"), "target")
@@ -119,12 +117,11 @@ def round_cells(cells: DataFrame, duals: DataFrame) -> DataFrame:
         count = F.col("base") * F.col("n") + F.col("extra") + F.coalesce(F.col("by"), F.lit(0))
         base = F.floor(count / F.col("n"))
         base = F.when(F.col("by").isNull(), F.col("base")).otherwise(F.least(base, F.lit(MOST)))
-        seen = Observation()
-        moved = moved.observe(seen, F.count("by").alias("picks")).withColumn("count", count).withColumn("base", base).select("source", "size", "n", "target", "base", (F.col("count") - F.col("base") * F.col("n")).cast("long").alias("extra"))
+        moved = moved.withColumn("count", count).withColumn("base", base).select("source", "size", "n", "target", "base", (F.col("count") - F.col("base") * F.col("n")).cast("long").alias("extra"))
+        if best.isEmpty():
+            break
         before, out = out, common.settle(moved, "mix-cells")
         common.drop(before)
-        if not seen.get["picks"]:
-            break
     return out.select("source", "size", "base", "extra")
 
 

@@ -32,10 +32,13 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 SAMPLE, SHARD_ROWS, LEAST_SHARDS = 65536, 65536, 64
 #: Members of a leaf that are compared whole; fingerprints of a shard that a tree of its own is fitted on, for each leaf.
 LEAF, LEAF_SAMPLE = 96, 64
+#: Bits of a position beside a distance, and what stands for no partner.
+PLACES, ALONE = 40, np.iinfo(np.int64).max
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
-#: The general rule for near copies, apart from the contract of ``near_dedup``: words of a shingle, and the least similarity.
-RULE_SHINGLE, SIMILAR = 5, 0.8
+#: The general rule for near copies, apart from the contract of ``near_dedup``: words of a shingle, the least similarity, and the
+#: bits within which the tree looks for them.
+RULE_SHINGLE, SIMILAR, WIDE = 5, 0.8, 12
 #: Bands of minima, and minima of a band: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
 #: Bits by which pairs that can't be similar are told before their sets are read.
@@ -91,7 +94,7 @@ class Tree:
         self._number()
 
     @classmethod
-    def fit(cls, sample: np.ndarray, depth: int) -> Tree:
+    def fit(cls, sample: np.ndarray, depth: int, radius: int = RADIUS) -> Tree:
         """Of a few candidates, the vantage point and radius that divide best and have the fewest at the border."""
         points, radii = np.zeros((1 << depth) - 1, np.uint64), np.full((1 << depth) - 1, 32, np.int64)
         parts = [sample]
@@ -99,7 +102,7 @@ class Tree:
             halves = []
             for k, part in enumerate(parts):
                 i = (1 << level) - 1 + k
-                points[i], radii[i] = choose(part) if len(part) else (np.uint64(0), 32)
+                points[i], radii[i] = choose(part, radius) if len(part) else (np.uint64(0), 32)
                 near = np.bitwise_count(part ^ points[i]) <= radii[i]
                 halves += [part[near], part[~near]]
             parts = halves
@@ -142,11 +145,11 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def choose(part: np.ndarray, candidates: int = 8) -> tuple[np.uint64, int]:
+def choose(part: np.ndarray, radius: int = RADIUS, candidates: int = 8) -> tuple[np.uint64, int]:
     """The vantage point and radius with the fewest at the border and the evenest halves."""
     best = (-1.0, part[0], 0)
     radii = np.arange(64)
-    low, high = np.maximum(radii - RADIUS, -1) + 1, np.minimum(radii + RADIUS, 64) + 1
+    low, high = np.maximum(radii - radius, -1) + 1, np.minimum(radii + radius, 64) + 1
     for v in part[np.linspace(0, len(part) - 1, min(candidates, len(part))).astype(int)]:
         near = np.cumsum(np.bincount(np.bitwise_count(part ^ v), minlength=65))
         small = np.minimum(near[:64], len(part) - near[:64]) / len(part)
@@ -174,8 +177,11 @@ def join_pairs(up: np.ndarray, u: np.ndarray, w: np.ndarray) -> None:
         np.minimum.at(up, np.maximum(u, w), np.minimum(u, w))
 
 
-def close_pairs(fps: np.ndarray, member: np.ndarray, radius: int) -> np.ndarray:
-    """The smallest position in each position's component, over all pairs within the radius of which one is a member."""
+def close_pairs(fps: np.ndarray, member: np.ndarray, radius: int, nearest: np.ndarray | None = None) -> np.ndarray:
+    """The smallest position in each position's component, over all pairs within the radius of which one is a member.
+
+    ``nearest`` (all ALONE before) takes the distance and position of each position's nearest partner in these pairs, as one number.
+    """
     up = np.arange(len(fps))
     work = [(np.flatnonzero(member), np.arange(len(fps)), 0)]
     while work:
@@ -183,7 +189,7 @@ def close_pairs(fps: np.ndarray, member: np.ndarray, radius: int) -> np.ndarray:
         if not len(mine) or not len(asking):
             continue
         if len(mine) > LEAF and depth < 60:
-            v, r = choose(fps[mine][:: max(1, len(mine) // 1024)])
+            v, r = choose(fps[mine][:: max(1, len(mine) // 1024)], radius)
             near = np.bitwise_count(fps[mine] ^ v) <= r
             if near.any() and not near.all():
                 d = np.bitwise_count(fps[asking] ^ v).astype(np.int64)
@@ -193,7 +199,13 @@ def close_pairs(fps: np.ndarray, member: np.ndarray, radius: int) -> np.ndarray:
         step = max(1, 2_000_000 // len(mine))
         for at in range(0, len(asking), step):
             some = asking[at : at + step]
-            a, b = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[mine][None, :]) <= radius)
+            bits = np.bitwise_count(fps[some][:, None] ^ fps[mine][None, :])
+            a, b = np.nonzero(bits <= radius)
+            if nearest is not None:
+                far, u, w = bits[a, b].astype(np.int64) << PLACES, some[a], mine[b]
+                other = u != w
+                np.minimum.at(nearest, u[other], (far | w)[other])
+                np.minimum.at(nearest, w[other], (far | u)[other])
             join_pairs(up, some[a], mine[b])
     return _roots(up, np.arange(len(fps)))
 
@@ -206,7 +218,7 @@ def _shard_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": fps[linked], "b": fps[root[linked]]})
 
 
-def fit_tree(distinct: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> Tree:
+def fit_tree(distinct: DataFrame, rows: int, shard_rows: int = SHARD_ROWS, radius: int = RADIUS, least: int | None = None) -> Tree:
     """A tree over a sample of SAMPLE fingerprints at most, taken by the hash of the fingerprint: reruns agree.
 
     Shards that hold more than twice what they should grow trees of their own, from samples of their own members that are
@@ -215,10 +227,10 @@ def fit_tree(distinct: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> Tr
     """
     sample = common.sample_by_hash(distinct.select("fp"), SAMPLE, [F.col("fp")], rows).collect()
     fps = np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
-    depth, wanted = 0, max(LEAST_SHARDS, rows // shard_rows)
+    depth, wanted = 0, max(LEAST_SHARDS if least is None else least, rows // shard_rows)
     while (1 << depth) < wanted and (len(fps) >> (depth + 1)) >= 16:
         depth += 1
-    tree, stuck = Tree.fit(fps, depth), set()
+    tree, stuck = Tree.fit(fps, depth, radius), set()
     while True:
         sizes = {r["shard"]: r["n"] for r in _homes(distinct, tree).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * shard_rows).collect()}
         wide = {s: n for s, n in sizes.items() if n not in stuck}
@@ -227,14 +239,14 @@ def fit_tree(distinct: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> Tr
         depths = {s: min(10, max(1, int(np.ceil(np.log2(n / shard_rows))))) for s, n in wide.items()}
 
         some = _homes(distinct, tree, {s: min(1.0, LEAF_SAMPLE * (1 << depths[s]) / n) for s, n in wide.items()})
-        made = some.groupBy("shard").applyInPandas(_fitted(depths), "shard long, points binary, radii binary").collect()
+        made = some.groupBy("shard").applyInPandas(_fitted(depths, radius), "shard long, points binary, radii binary").collect()
         tree.grow({r["shard"]: Tree(np.frombuffer(r["points"], np.uint64), np.frombuffer(r["radii"], np.int64), depths[r["shard"]]) for r in made})
         stuck |= set(wide.values())  # a shard that comes out as large as it went in can't be divided
 
 
-def _fitted(depths: dict[int, int]):
+def _fitted(depths: dict[int, int], radius: int):
     def run(shard: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        t = Tree.fit(np.sort(part["fp"].to_numpy(np.int64)).view(np.uint64), depths[shard[0]])
+        t = Tree.fit(np.sort(part["fp"].to_numpy(np.int64)).view(np.uint64), depths[shard[0]], radius)
         return pd.DataFrame({"shard": [shard[0]], "points": [t.points.tobytes()], "radii": [t.radii.tobytes()]})
 
     return run
@@ -362,20 +374,62 @@ def band_keys(shingles: np.ndarray, xors: np.ndarray, factors: np.ndarray) -> np
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, mark, s, bands): a hash of the raw text, a hash of its set of shingles, and the set's band keys."""
+    """(doc_id, mark, fp, n, s, bands): a hash of the raw text, its fingerprint, and of its set of shingles size, hash and band keys."""
     xors, factors = _permutations()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            s, bands = np.empty(len(rows), "<u8"), []
+            s, fp, n, bands = np.empty(len(rows), "<u8"), np.empty(len(rows), "<u8"), np.empty(len(rows), np.int64), []
             for i, text in enumerate(rows["text"]):
                 shingles = shingle_set(text or "")
+                fp[i], n[i] = fingerprint(text or ""), len(shingles)
                 s[i] = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
                 bands.append(band_keys(shingles, xors, factors).view(np.int64))
-            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "mark": rows["mark"], "s": s.view(np.int64), "bands": bands})
+            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "mark": rows["mark"], "fp": fp.view(np.int64), "n": n, "s": s.view(np.int64), "bands": bands})
 
     docs = common.require(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(common.text_or_empty()).alias("mark"))
-    return docs.mapInPandas(run, "doc_id long, mark long, s long, bands array<long>")
+    return docs.mapInPandas(run, "doc_id long, mark long, fp long, n long, s long, bands array<long>")
+
+
+def near_pairs(nodes: DataFrame, least: float, radius: int = WIDE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Pairs (a, b) of the sets in ``nodes`` (s, fp, n): each with its nearest by fingerprint, within the radius, and with the first of its tree.
+
+    Shards, visits and trees in memory are those of ``links``. As sets of similarity ``least`` differ in size by that factor at
+    most, a shard is divided by size into grades, and a fingerprint visits its own grade and the two beside it. Sets with one
+    fingerprint and grade are one point, each paired with the first of them.
+    """
+    width = max(-np.log(least), 0.01) * (1 + 1e-9)
+    graded = nodes.select("s", "fp", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(width))).alias("grade"))
+    points = common.settle(graded.groupBy("fp", "grade").agg(F.min("s").alias("s")), "points")
+    total = points.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    rows, most = total["all"] or 0, total["most"] or 1
+    tree = fit_tree(points, rows, max(shard_rows, shard_rows * rows // most), radius, 1)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            fps, grade, s = (part[c].to_numpy(np.int64) for c in ("fp", "grade", "s"))
+            at, shard, home = tree.visits(fps.view(np.uint64), radius)
+            own = np.zeros(len(part), np.int64)
+            own[at[home]] = shard[home]
+            for step in (-1, 0, 1):  # a pair meets once: in the higher shard, or in the higher grade of one
+                keep = (shard > own[at]) | ((shard == own[at]) & (step >= 0))
+                i = at[keep]
+                yield pd.DataFrame({"shard": shard[keep], "grade": grade[i] + step, "fp": fps[i], "s": s[i], "home": home[keep] & (step == 0)})
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("s")
+        fps, s = part["fp"].to_numpy(np.int64), part["s"].to_numpy(np.int64)
+        nearest = np.full(len(s), ALONE)
+        root = close_pairs(fps.view(np.uint64), part["home"].to_numpy(bool), radius, nearest)
+        at = np.flatnonzero(nearest != ALONE)
+        return pd.DataFrame({"s": s[at], "bits": nearest[at] >> PLACES, "near": s[nearest[at] & ((1 << PLACES) - 1)], "first": s[root[at]]})
+
+    met = points.select("fp", "grade", "s").mapInPandas(route, "shard long, grade long, fp long, s long, home boolean").groupBy("shard", "grade").applyInPandas(meet, "s long, bits long, near long, first long")
+    best = met.groupBy("s").agg(F.min(F.struct("bits", "near"))["near"].alias("near"), F.min("first").alias("first"))
+    one = points.select(F.col("fp").alias("f"), F.col("grade").alias("g"), F.col("s").alias("o"))
+    twins = graded.join(one, (F.col("fp") == F.col("f")) & (F.col("grade") == F.col("g"))).select("s", "o")
+    both = best.select("s", F.explode(F.array("near", "first")).alias("o")).union(twins)
+    return common.settle(both.filter("s <> o").select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct(), "near-pairs")
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -421,25 +475,27 @@ def _apart(open_: DataFrame, least: float) -> DataFrame:
     return tried.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b"))
 
 
-def similar_components(documents: DataFrame, made: DataFrame, least: float) -> DataFrame:
+def similar_components(documents: DataFrame, made: DataFrame, least: float, radius: int = WIDE) -> DataFrame:
     """(node, least) over the sets of shingles that have a partner of similarity ``least`` or more.
 
-    Sets that share a band key are candidates. Each is first held against one member of its buckets, then twice against
-    those of other components, so a large group of near copies costs a few pairs a member. Last, all pairs of a bucket
-    that are still in different components are held against one another (``_apart``): a pair that never is compared is
-    joined already, so the components are those of all candidates.
+    The tree of fingerprints names candidates (``near_pairs``), and the exact similarity decides. What it leaves apart, as
+    some similar sets lie beyond any radius that tells texts from one another, is sought by band keys: members of a bucket
+    in different components are held against two of them, twice, so a large group of near copies costs a few pairs a member.
+    Last, all pairs of a bucket that are still in different components are held against one another (``_apart``): a pair
+    that never is compared is joined already, so the components are those of all that share a band or that the tree names.
     """
-    distinct = common.settle(made.groupBy("s").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark")).alias("w"), F.first("bands").alias("bands")), "sets")
+    distinct = common.settle(made.groupBy("s").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark", "fp", "n")).alias("w"), F.first("bands").alias("bands")), "sets")
+    near = near_pairs(distinct.select("s", "w.fp", "w.n"), least, radius)
     keyed = distinct.select("s", F.posexplode("bands").alias("band", "key"))
-    buckets = common.settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low")).filter("n > 1").select(F.col("key").alias("k"), "low"), "buckets")
-    shared = common.settle(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "band", "s", "low"), "shared")
-    named = common.settle(shared.select("s").distinct().withColumnRenamed("s", "x"), "candidates")
+    buckets = common.settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k")), "buckets")
+    shared = common.settle(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "band", "s"), "shared")
+    named = common.settle(shared.select(F.col("s").alias("x")).union(near.select("a")).union(near.select("b")).distinct(), "candidates")
     wanted = common.settle(distinct.join(named, F.col("s") == F.col("x")).select("s", "w.id", "w.mark"), "wanted")
     sets = common.settle(_sets_of(documents, wanted), "shingles")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    now = components(_similar(shared.groupBy("s").agg(F.min("low").alias("hub")).filter("s <> hub").select(*pair("s", "hub")), sets, least))
+    now = components(_similar(near, sets, least))
     for last in (False, False, True):
-        members = common.settle(shared.select("key", "band", "s").join(now, F.col("s") == F.col("node"), "left").select("key", "band", "s", F.coalesce("least", "s").alias("root")), "members")
+        members = common.settle(shared.join(now, F.col("s") == F.col("node"), "left").select("key", "band", "s", F.coalesce("least", "s").alias("root")), "members")
         apart = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("s", "root").alias("s0"), F.max_by("s", "root").alias("s1")).filter("r0 <> r1").withColumnRenamed("key", "k")
         open_ = members.join(common.settle(apart, "apart"), F.col("key") == F.col("k"))
         if last:
@@ -455,13 +511,13 @@ def similar_components(documents: DataFrame, made: DataFrame, least: float) -> D
     return now
 
 
-def keep_dissimilar(documents: DataFrame, least: float = SIMILAR) -> DataFrame:
+def keep_dissimilar(documents: DataFrame, least: float = SIMILAR, radius: int = WIDE) -> DataFrame:
     """One document of each group of near copies by the general rule, with all columns: that with the smallest id (null ids last).
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``least`` or more, and what they join.
     """
     made = common.settle(sketches(documents), "sketches")
-    joined = similar_components(documents, made, least)
+    joined = similar_components(documents, made, least, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark")))
     firsts = made.groupBy("s").agg(first.alias("w"))
     stays = firsts.join(joined, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("least", "s").alias("root")).agg(F.min("w").alias("w"))

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from marlstone.llm import simhash
 
@@ -194,3 +195,36 @@ def test_links_of_grown_trees(spark, monkeypatch):
         root[where[r["node"]]] = where[r["least"]]
     groups = lambda x: {frozenset(i for i, v in enumerate(x) if v == k) for k in set(x)}
     assert groups(root) == groups(want)
+
+
+def near_copies():
+    r, texts = random.Random(11), []
+    for _ in range(30):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([80, 150, 400]))]
+        for _ in range(5):
+            copy = list(words)
+            for _ in range(r.randrange(1 + len(words) // 100)):
+                copy[r.randrange(len(copy))] = "Other"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_the_stage_links_through_the_tree(spark, monkeypatch):
+    real = simhash.sketches
+    monkeypatch.setattr(simhash, "sketches", lambda docs: real(docs).withColumn("bands", F.array("s")))  # no two sets share a band
+    df = frame(spark, near_copies())
+    assert sorted(x["doc_id"] for x in simhash.keep_dissimilar(df).collect()) == slow_kept([(x["doc_id"], x["text"]) for x in df.collect()])
+
+
+@pytest.mark.parametrize("shard_rows", [simhash.SHARD_ROWS, 2])
+def test_near_pairs_hold_the_nearest(spark, shard_rows):
+    texts = [*dict.fromkeys(near_copies()), "one two", "one two three"]
+    sets = [simhash.shingle_set(t) for t in texts]
+    nodes = [(i, simhash.fingerprint(t), len(x)) for i, (t, x) in enumerate(zip(texts, sets, strict=True))]
+    table = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64)), n) for i, f, n in nodes], "s bigint, fp bigint, n bigint")
+    got = {frozenset(map(int, p)) for p in simhash.near_pairs(table, 0.8, shard_rows=shard_rows).collect()}
+    bits = lambda i, j: (nodes[i][1] ^ nodes[j][1]).bit_count()
+    for i, _, n in nodes:
+        near = [bits(i, j) for j, _, m in nodes if j != i and 0.8 * max(n, m) <= min(n, m) and bits(i, j) <= simhash.WIDE]
+        mine = [bits(*p) for p in got if i in p]
+        assert not near or min(mine) <= min(near)
